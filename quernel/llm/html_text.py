@@ -45,6 +45,7 @@ NOISE_NAMES = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager widget widgets skip hidden".split()  # noqa: SIM905
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())  # noqa: SIM905
+UNSEEN = frozenset("script style template link meta".split())  # noqa: SIM905
 MAIN_NAMES = frozenset("article main".split())  # noqa: SIM905
 
 MIN_PAGES = 8
@@ -185,7 +186,7 @@ def _collect(node: Node, out: list[str], drop, lost: list[str] | None = None) ->
         if isinstance(c, str):
             out.append(c)
         elif c.noise:
-            out.append("" if c.tag in INLINE else "\n")
+            out.append("" if c.tag in INLINE or c.tag in UNSEEN else "\n")
         else:
             block = c.tag not in INLINE
             if block:
