@@ -108,3 +108,30 @@ def running_sum(table: DataFrame, key: str, amount: Column, name: str, ranges: i
     starts = sums.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
     inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("__inside", inside).join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__inside")).drop("__range", "__n", "__start", "__inside")
+
+
+def ends(table: DataFrame, key: str) -> DataFrame:
+    """The first and the last entry, with ``side`` begin or end; no rows for an empty table.  Two aggregates, no sort."""
+    entry = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    both = table.agg(F.min_by(entry, f"`{key}`").alias("begin"), F.max_by(entry, f"`{key}`").alias("end"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("e")) for s in ("begin", "end")]))
+    return both.select(sides.alias("s")).where("s.e is not null").select("s.side", "s.e.*")
+
+
+def find(table: DataFrame, key: str, probes: DataFrame, probe: str) -> DataFrame:
+    """Each probe with the position of the entry that has exactly this key, null past the end."""
+    placed = positions(table.select(F.col(f"`{key}`").alias("__key")), "__key")
+    return probes.join(placed, F.col(f"`{probe}`") == F.col("__key"), "left").drop("__key")
+
+
+def steps(table: DataFrame, key: str, start, count: int, back: bool = False) -> DataFrame:
+    """Up to ``count`` entries from the bound at ``start`` on, or before it going back; each task sorts no more than that."""
+    at = F.col(f"`{key}`")
+    if back:
+        return table.where(at < F.lit(start)).orderBy(at.desc()).limit(count)
+    return table.where(at >= F.lit(start)).orderBy(at.asc()).limit(count)
+
+
+def same_order(table: DataFrame, key: str) -> DataFrame:
+    """Entries whose key isn't above the one before it in the order, or is null: what breaks an ordered table (empty for a good one)."""
+    return neighbours(table, key).where(F.col(f"`{key}`").isNull() | (F.col("prev") >= F.col(f"`{key}`")))

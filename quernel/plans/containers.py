@@ -160,3 +160,48 @@ def reverse_comparator(spark: SparkSession, sf: str) -> DataFrame:
 def cursor_next_prev(spark: SparkSession, sf: str) -> DataFrame:
     near = ordered.neighbours(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     return near.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("prev", "next")})
+
+
+@query("""
+    SELECT 'begin' AS side, o_orderkey, o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
+    UNION ALL SELECT 'end', o_orderkey, o_custkey FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)
+""")
+def begin_end(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered.ends(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders)
+    SELECT p_partkey * 37 - 5 AS probe, coalesce(position, -1) AS position FROM part LEFT JOIN p ON o_orderkey = p_partkey * 37 - 5
+""")
+def find_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    found = ordered.find(table(spark, sf, "orders"), "o_orderkey", probes(spark, sf), "probe")
+    return found.select("probe", F.coalesce("position", F.lit(-1)).cast("long").alias("position"))
+
+
+@query("""
+    (SELECT o_orderkey, 'on' AS way FROM orders WHERE o_orderkey >= 5000 ORDER BY o_orderkey LIMIT 25)
+    UNION ALL (SELECT o_orderkey, 'back' FROM orders WHERE o_orderkey < 5000 ORDER BY o_orderkey DESC LIMIT 25)
+""")
+def steps_from_bound(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "orders").select("o_orderkey")
+    on, back = ordered.steps(keys, "o_orderkey", 5000, 25), ordered.steps(keys, "o_orderkey", 5000, 25, back=True)
+    return on.withColumn("way", F.lit("on")).unionByName(back.withColumn("way", F.lit("back")))
+
+
+@query("SELECT o_custkey AS key, min(o_orderkey) AS value FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def get_or_put_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The table after looking up every customer and putting a default for those that aren't there."""
+    keyed = Keyed()
+    batch = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("seq"))
+    held = keyed.insert(batch.select("key", "value").limit(0), batch)
+    probed = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("value"), F.lit(0).alias("seq"))
+    return keyed.insert(held, probed)
+
+
+@query("SELECT count(*) AS entries, count(*) = 0 AS empty, 0 AS broken FROM orders")
+def size_and_order(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").select("o_orderkey")
+    broken = ordered.same_order(df, "o_orderkey").agg(F.count(F.lit(1)).alias("broken"))
+    counted = df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(1).alias("one"), "entries", (F.col("entries") == 0).alias("empty"))
+    return counted.join(broken.withColumn("one", F.lit(1)), "one").drop("one")
