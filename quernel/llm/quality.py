@@ -28,7 +28,7 @@ SEED = 20_240_501
 #: Every so many labelled rows one is for calibration; the others are for the weights.
 CALIBRATE_EACH = 4
 PREDICT = 0.3
-#: Tasks that sum normal equations; each returns one matrix.
+#: Tasks that sum normal equations over the sample; each returns one matrix.
 SUMMING_TASKS = 12
 
 
@@ -74,7 +74,7 @@ def _sums(rows: DataFrame, of) -> list[np.ndarray]:
 
 def fit(rows: DataFrame, fourier: int = FOURIER) -> Model | None:
     """rows: id, x, y of a bounded sample.  None if it doesn't have both labels."""
-    rows = durable(rows.withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0).coalesce(SUMMING_TASKS))
+    rows = durable(rows.withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0).repartition(SUMMING_TASKS, "id"))
     learn = rows.where("not calibrate")
     moments = _sums(learn, lambda x, y: [np.array([len(x), y.sum()]), x.sum(axis=0), (x * x).sum(axis=0)])
     if not moments or not 0 < moments[0][1] < moments[0][0]:
