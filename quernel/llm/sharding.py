@@ -6,10 +6,11 @@
 3. Rows are put into ranges; ranges that hold too many rows (one text with a third of all rows has one
    key) are subdivided by a hash of the row, so that no task sorts an unbounded range.
 4. Exact sums of the ranges give each row its place in the total order, in bytes; a shard is an equal
-   part of that, so shards differ by less than two documents.  Slots are places in a shard.
+   part of that, so shards differ by less than a document and ``WHOLE_GROUPS`` of a shard.  Slots are
+   places in a shard.
 
-Equal texts have equal keys and so lie side by side; a group of copies is parted only where a shard ends
-or a range was overfull.
+Equal texts have equal keys and so lie side by side; a group of copies is parted only where it is large
+and a shard ends in it, or where its range was overfull.
 
 Defined cases: null texts have size 1 and checksum 0, as empty ones; a row larger than a shard's part
 takes the shard that its middle lies in; ties (equal text and id) are ordered by the row's place in the
@@ -30,6 +31,8 @@ RANGE_ROWS = 100_000
 MIN_RANGES = 64
 #: Samples for each range; the largest sum of sampling errors stays far below a range.
 SAMPLES = 40
+#: A group of equal texts isn't parted at a shard's border if it is at most this share of a shard.
+WHOLE_GROUPS = 0.005
 #: Ranges are found by the leading bits of the key, so that a row is compared with few boundaries only.
 PREFIX_BITS = 12
 
@@ -53,7 +56,9 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]
         return []
     cell = F.floor(F.sum("steps").over(Window.orderBy("key", "sub").rowsBetween(Window.unboundedPreceding, -1)) * F.lit(ranges) / F.lit(drawn))
     edges = sample.withColumn("cell", F.coalesce(cell, F.lit(0))).where("cell > 0").groupBy("cell").agg(F.min(F.struct("key", "sub")).alias("edge"))
-    return sorted((r.edge.key, r.edge.sub) for r in edges.collect())
+    found = sorted((r.edge.key, r.edge.sub) for r in edges.collect())
+    # The first boundary in a group of equal texts moves to its start; only a group with several is cut inside.
+    return [(key, -(2**63) if not k or found[k - 1][0] != key else sub) for k, (key, sub) in enumerate(found)]
 
 
 def _ranged(rows: DataFrame, edges: list[tuple[int, int]]) -> DataFrame:
@@ -92,7 +97,11 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     inside = Window.partitionBy("range", "part").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ordered = ordered.join(small(starts, ranges * 3), ["range", "part"])
-    middle = F.col("start") + F.col("ahead") + F.col("size") / 2
+    # A small group of equal texts goes where its middle lies, a large one is parted at the border.
+    texts = Window.partitionBy("range", "part", "key")
+    ordered = ordered.withColumn("group_bytes", F.sum("size").over(texts)).withColumn("group_ahead", F.min("ahead").over(texts))
+    whole = F.col("group_bytes") <= F.lit(WHOLE_GROUPS * total / shards)
+    middle = F.col("start") + F.when(whole, F.col("group_ahead") + F.col("group_bytes") / 2).otherwise(F.col("ahead") + F.col("size") / 2)
     ordered = ordered.withColumn("shard", F.least(F.floor(middle * shards / total), F.lit(shards - 1)).cast("int"))
     slot = F.row_number().over(Window.partitionBy("range", "part", "shard").orderBy("key", "id", "row"))
     ordered = durable(ordered.select("id", "size", "crc", "range", "part", "shard", slot.alias("place")))

@@ -70,6 +70,20 @@ def test_shards_are_even_whatever_is_hot(spark, hot):
     check_shards(sharding.shard(df, 8, range_rows=200).collect(), texts, 8, 2 * 30_001)
 
 
+def test_small_groups_of_equal_texts_stay_together(spark):
+    random.seed(6)
+    texts = [f"text {k} " * random.randint(5, 20) for k in range(15_000)]
+    rows = [(n, t) for n, t in enumerate(t for t in texts for _ in range(random.choice([1, 1, 2, 3])))]
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8, range_rows=500).collect()
+    at, size = defaultdict(set), defaultdict(int)
+    by_id = dict(rows)
+    for r in placed:
+        at[by_id[r.doc_id]].add(r.shard)
+        size[r.shard] += r["size"]
+    assert all(len(s) == 1 for s in at.values())
+    assert max(size.values()) <= 1.02 * min(size.values())
+
+
 def test_one_row_and_fewer_rows_than_shards(spark):
     df = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "doc_id long, text string")
     got = sharding.shard(df, 8).collect()
