@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Runs of it that aren't one plain space already, which would be replaced by itself.
+BLANKS = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"
 #: Rows of a narrow table (some tens of bytes each) that may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 200_000
 
