@@ -201,7 +201,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")))
     found = components(links(classes.select("fp"), radius, blocks))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "class_size", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written apart, so that the join stands alone in its stage and a large component can be split there.
+    heads = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     marks = rooted.join(heads, "root").select("fp", "component_id", "class_size")
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(marks, "fp").select(F.col("id").alias(id_col), hex_digits.alias("fingerprint"), "component_id", "class_size")
