@@ -8,8 +8,10 @@ the triangle inequality says that its nearest point is farther than the k-th nei
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part,
 neither as queries nor as candidates; vectors are compared with those of the same length only; ties go to
-the smaller id; rows with the query's own id are not its neighbours; with fewer candidates than k all are
-returned; an empty table gives an empty result; other columns are ignored.
+the smaller id; rows with the query's own id are not its neighbours; every other row is a candidate, so
+rows repeated with one id take a place each; queries repeated with one id and vector are one query, and
+different vectors of one query id are queries of their own, each with its own ranks; with fewer candidates
+than k all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,11 +126,11 @@ def index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sha
 
 def search(trees: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest in all trees of every usable query."""
-    asked = durable(usable(queries, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()))
+    asked = durable(usable(queries, id_col, vec_col).distinct().withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        block = (part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
+        block = (part["row"].to_numpy(np.int64), part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"dim": part["dim"].iloc[:1], "block": part["block"].iloc[:1], "queries": [pickle.dumps(block)]})
 
     held = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
@@ -142,15 +144,16 @@ def search(trees: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(len(b)):
-                ids, vectors = pickle.loads(b.column(0)[row].as_py())
+                rows, ids, vectors = pickle.loads(b.column(0)[row].as_py())
                 tree = pickle.loads(b.column(1)[row].as_py())
                 for start in range(0, len(ids), TOGETHER):
                     part = ids[start : start + TOGETHER]
                     d, i = Search(tree, k, factor).run(part, vectors[start : start + TOGETHER])
                     real = np.isfinite(d)
-                    columns = [pa.array(np.repeat(part, k).reshape(d.shape)[real]), pa.array(i[real]), pa.array(d[real])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    asking = [np.repeat(x, k).reshape(d.shape)[real] for x in (rows[start : start + TOGETHER], part)]
+                    columns = [*map(pa.array, asking), pa.array(i[real]), pa.array(d[real])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query", "query_id", "vec_id", "score"])
 
-    found = work.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = work.select("queries", "tree").mapInArrow(run, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

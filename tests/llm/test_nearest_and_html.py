@@ -59,6 +59,29 @@ def test_relaxed_search_keeps_most_neighbours(spark):
     assert np.mean([len({x for x, _ in got[q]} & {x for x, _ in exact[q]}) / 10 for q in exact]) >= 0.9
 
 
+def test_repeated_rows_take_places_and_repeated_queries_are_one(spark):
+    random.seed(5)
+    rows = [(k, [float(k), 1.0]) for k in range(1, 301)] + [(7, [7.0, 1.0])] * 150 + [(8, [50.0, 1.0])] * 3 + [(300, [300.0, 1.0])] * 40
+    random.shuffle(rows)
+    asked = [(0, [7.2, 1.0]), (0, [7.2, 1.0]), (7, [7.0, 1.0]), (300, [300.0, 1.0]), (300, [300.0, 1.0]), (1000, [50.2, 1.0])]
+    schema = "vec_id long, embedding array<double>"
+    trees = vptree.index(spark.createDataFrame(rows, schema).repartition(4), shard_rows=100)
+    got = found(vptree.search(trees, spark.createDataFrame(asked, schema).repartition(3), k=10).collect())
+    want = {}
+    for q, v in asked:
+        near = sorted((float(np.hypot(v[0] - w[0], v[1] - w[1])), i) for i, w in rows if i != q)[:10]
+        want[q] = [(i, d) for d, i in near]
+    same(got, want)
+    assert [i for i, _ in got[0]] == [7] * 10 and [i for i, _ in got[1000]][:4] == [8, 8, 8, 50]
+
+
+def test_vectors_of_one_query_id_are_ranked_apart(spark):
+    schema = "vec_id long, embedding array<double>"
+    trees = vptree.index(spark.createDataFrame([(k, [float(k), 1.0]) for k in range(1, 50)], schema))
+    got = vptree.search(trees, spark.createDataFrame([(0, [1.0, 1.0]), (0, [49.0, 1.0])], schema), k=3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 0.0), (1, 49, 0.0), (2, 2, 1.0), (2, 48, 1.0), (3, 3, 2.0), (3, 47, 2.0)]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (100, [9.0, 9.0]), (200, None), (None, [1.0, 1.0])]
