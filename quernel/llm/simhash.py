@@ -14,8 +14,9 @@ through ``components``.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like
 others; texts with fewer words than a shingle are one shingle; null ids take part but are never a
-component's id unless it has no other; repeated rows get the same marks; an empty table gives an empty
-result; other columns are ignored by ``groups`` and kept by ``keep_one``.
+component's id unless it has no other; repeated rows get the same marks; ``keep_one`` tells rows with one
+id (or none) apart by their texts; an empty table gives an empty result; other columns are ignored by
+``groups`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernel.llm.common import durable, spread
 from quernel.llm.components import components
@@ -61,16 +63,18 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """id, fp long (the 64 bits as a signed number)."""
-    kind = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, *also: Column) -> DataFrame:
+    """id, the columns ``also``, fp long (the 64 bits as a signed number)."""
+    taken = df.select(df[text_col].cast("string").alias("text"), df[id_col].alias("id"), *also)
+    out = T.StructType(taken.schema.fields[1:]).add("fp", "long")
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(t.as_py(), words_each) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], names=["id", "fp"])
+            made = np.array([fingerprint(t.as_py(), words_each) for t in b.column(0)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made.view(np.int64))], names=names)
 
-    return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return taken.mapInArrow(run, out)
 
 
 class ShardTree:
@@ -195,21 +199,30 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     return members.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """One row per row: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable), class_size (rows of this fingerprint)."""
-    rows = durable(fingerprints(df, id_col, text_col, words_each))
+def _marked(rows: DataFrame, radius: int, blocks: int | None) -> DataFrame:
+    """rows: id, fp and others.  These with root (the component's smallest fingerprint), component_id and class_size."""
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")))
     found = components(links(classes.select("fp"), radius, blocks))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "class_size", F.coalesce("root", "fp").alias("root"))
     # Written apart, so that the join stands alone in its stage and a large component can be split there.
     heads = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    marks = rooted.join(heads, "root").select("fp", "component_id", "class_size")
+    return rows.join(rooted.join(heads, "root").select("fp", "root", "component_id", "class_size"), "fp")
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """One row per row: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable), class_size (rows of this fingerprint)."""
+    rows = durable(fingerprints(df, id_col, text_col, words_each))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(marks, "fp").select(F.col("id").alias(id_col), hex_digits.alias("fingerprint"), "component_id", "class_size")
+    return _marked(rows, radius, blocks).select(F.col("id").alias(id_col), hex_digits.alias("fingerprint"), "component_id", "class_size")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's, with all their columns; of rows repeated with one id one stays."""
-    heads = groups(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__head")).distinct()
-    kept = df.join(heads, df[id_col].eqNullSafe(F.col("__head"))).dropDuplicates(["__head"])
+    """One row of each component, with all its columns: of those with its id the one whose text has the smallest digest."""
+    own = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
+    marked = _marked(durable(fingerprints(df, id_col, text_col, SHINGLE_WORDS, own.alias("digest"))), RADIUS, None)
+    # Equal texts are in one component, so an id and a digest belong to one head at most.
+    heads = marked.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("digest").alias("__digest"))
+    heads = heads.select(F.col("component_id").alias("__head"), "__digest")
+    rows = df.withColumn("__own", own)
+    kept = rows.join(heads, rows["__own"].eqNullSafe(heads["__digest"]) & rows[id_col].eqNullSafe(heads["__head"])).dropDuplicates(["__head", "__digest"])
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])

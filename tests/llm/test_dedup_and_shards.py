@@ -154,6 +154,17 @@ def test_fingerprints_and_components_against_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({find(k) for k in range(len(texts))})
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    far = [f"{w} stands here with words of its own like {w * 2} and {w * 3}" for w in ("ab", "cd", "ef", "gh", "ij")]
+    rows = [(None, far[0]), (None, far[0]), (None, far[1]), (5, far[2]), (5, far[3]), (5, far[3].upper()), (5, far[3]), (None, far[3]), (7, far[4]), (9, far[4]), (5, None), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    assert len({r.fingerprint for r in simhash.groups(df).collect()}) == 6
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
+    assert got == sorted([(0, far[0]), (0, far[1]), (5, far[2]), (5, far[3]), (7, far[4]), (5, "")])
+
+
 def test_links_of_a_dense_group_span_it_without_all_pairs():
     random.seed(4)
     centre = random.getrandbits(64)
