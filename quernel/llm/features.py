@@ -70,19 +70,29 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_vector(df: DataFrame, make, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, x array<float>: ``make(text)`` for every row; null texts count as empty."""
-    kind = df.schema[id_col].dataType.simpleString()
+def map_vectors(df: DataFrame, text_col: str, make, size: int, then, schema) -> DataFrame:
+    """``then(part, x)`` of parts of the rows, with x float32 the vectors ``make(text)`` of a part; null texts count as empty."""
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 1000):
                 part = b.slice(start, 1000)
-                values = np.array([make(t.as_py() or "") for t in part.column(1)], np.float32).reshape(-1, size)
-                x = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size), pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), x], names=["id", "x"])
+                yield then(part, np.array([make(t.as_py() or "") for t in part.column(at).cast(pa.string())], np.float32).reshape(-1, size))
+
+    return df.mapInArrow(run, schema)
+
+
+def with_vector(df: DataFrame, make, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, x array<float>: ``make(text)`` for every row; null texts count as empty."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def then(part: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+        x = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size), pa.int32()), pa.array(values.ravel()))
+        return pa.RecordBatch.from_arrays([part.column(0), x], names=["id", "x"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, x array<float>")
+    rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    return map_vectors(rows, "text", make, size, then, f"id {kind}, x array<float>")
 
 
 def training_labels(labels: DataFrame, target: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:

@@ -116,7 +116,15 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return scored.select(F.col("id").alias(id_col), held_out_column(F.col("id")).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
 
 
-def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are predicted 1, with all their columns."""
-    good = score(df, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__good")).distinct()
-    return df.join(good, df[id_col].eqNullSafe(F.col("__good")), "left_semi")
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
+    """The rows that are predicted 1, each by its own text, with all their columns."""
+    train = durable(features.training_labels(labels, "quality", most=most))
+    named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
+    vectors = features.with_vector(named, features.statistics, len(features.STATISTICS), id_col, text_col)
+    model = fit(vectors.join(F.broadcast(train), "id"))
+
+    def good(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        made = features.calibrated(model.raw(x.astype(np.float64)), model.knots) if model else np.full(len(x), 0.5)
+        return part.filter(pa.array(made >= PREDICT))
+
+    return features.map_vectors(df, text_col, features.statistics, len(features.STATISTICS), good, df.schema)

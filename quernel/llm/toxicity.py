@@ -204,15 +204,20 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Model | None:
     return model
 
 
+def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
+    """vectors: id, x of the labelled rows at least; train: id, y of a bounded sample."""
+    sample = vectors.join(F.broadcast(train), "id").withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0)
+    rows = sample.select("x", "y", "calibrate").toArrow()  # bounded by the sample
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64) if len(rows) else np.zeros((0, len(NAMES)))
+    return fit(x, rows["y"].to_numpy(), rows["calibrate"].to_numpy(zero_copy_only=False).astype(bool))
+
+
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """id_col, held_out, score, predicted for every row."""
     train = durable(features.training_labels(labels, "toxic", most=most))
     lexicon = learn_lexicon(df, train, id_col, text_col)
     vectors = durable(features.with_vector(df, lexicon.vector, len(NAMES), id_col, text_col))
-    sample = vectors.join(F.broadcast(train), "id").withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0)
-    rows = sample.select("x", "y", "calibrate").toArrow()  # bounded by ``most``
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64) if len(rows) else np.zeros((0, len(NAMES)))
-    model = fit(x, rows["y"].to_numpy(), rows["calibrate"].to_numpy(zero_copy_only=False).astype(bool))
+    model = learn(vectors, train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +231,15 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return scored.select(F.col("id").alias(id_col), held_out_column(F.col("id")).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
 
 
-def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are predicted 0, with all their columns."""
-    clean = score(df, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("__clean")).distinct()
-    return df.join(clean, df[id_col].eqNullSafe(F.col("__clean")), "left_semi")
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
+    """The rows that are predicted 0, each by its own text, with all their columns."""
+    train = durable(features.training_labels(labels, "toxic", most=most))
+    lexicon = learn_lexicon(df, train, id_col, text_col)
+    named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
+    model = learn(features.with_vector(named, lexicon.vector, len(NAMES), id_col, text_col), train)
+
+    def clean(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        made = features.calibrated(model.raw(x.astype(np.float64)), model.knots) if model else np.zeros(len(x))
+        return part.filter(pa.array(made < PREDICT))
+
+    return features.map_vectors(df, text_col, lexicon.vector, len(NAMES), clean, df.schema)

@@ -44,6 +44,21 @@ def test_defined_cases(spark, module):
     assert module.score(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize(("module", "target", "kept"), [(quality, "quality", 1), (toxicity, "toxic", 0)])
+def test_rows_of_one_id_are_kept_or_dropped_by_their_own_text(spark, module, target, kept):
+    fine = [f"The {w} walks along the quiet river and looks at number {k} of the boats." for k in range(150) for w in ("man", "dog")]
+    bad = [f"BAD!! ### $$$ idiot idiot {k} !!! idiot" for k in range(300)]
+    rows = [(k, t) for k, t in enumerate(x for pair in zip(fine, bad, strict=True) for x in pair)]
+    labels = spark.createDataFrame([(k, int(k % 2 == (0 if target == "quality" else 1))) for k, _ in rows], f"doc_id long, {target} int")
+    mixed = [(i, t) for i in (None, 5000) for t in (fine[0], bad[0], bad[1], fine[1])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows + mixed)], "doc_id long, text string, n long").repartition(3)
+    got = module.keep(df, labels)
+    assert got.schema == df.schema
+    texts = [r.text for r in got.where("n >= 600").collect()]
+    assert sorted(texts) == sorted([fine[0], fine[1]] * 2)
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in module.score(df, labels).where(f"predicted = {kept}").collect()}
+
+
 def test_isotonic_is_the_best_rising_fit():
     random = np.random.default_rng(1)
     x = random.normal(size=200)
