@@ -9,7 +9,10 @@ host with most of the pages is no burden.
 Two rules stand beside the entropies, because boilerplate that differs from page to page (menus of
 other links, other adverts) looks important to them: branches whose style says that they are no article
 (tags, classes, ids, roles below) have importance 0, and on a page with an article or main element only
-what is in it is kept.  Entropy judges style nodes that at least ``MIN_PAGES`` pages of the host share; a
+what is in it is kept.  A form, or a branch that only its names speak against, is a wrapper and stays if it
+holds more than half of the page's text outside links; one named after comments stays only if it also has a
+heading of first level or a main element, or nothing else has text.  A main element is found below
+such branches too.  Entropy judges style nodes that at least ``MIN_PAGES`` pages of the host share; a
 page from which it would take more than half of the text that the rules left keeps that text whole.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one
@@ -44,6 +47,10 @@ NOISE_NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond disqus discussion sidebar related recommended "
     "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager widget widgets skip hidden".split()  # noqa: SIM905
 )
+#: Of these, names of what readers write; words that say what a wrapper has or hasn't; headers of the content itself.
+THREAD_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion".split())  # noqa: SIM905
+STATE_WORDS = frozenset("has with without no not".split())  # noqa: SIM905
+CONTENT_WORDS, HEADERS = frozenset("post entry article story content".split()), frozenset(["header", "masthead"])  # noqa: SIM905
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())  # noqa: SIM905
 UNSEEN = frozenset("script style template link meta".split())  # noqa: SIM905
 MAIN_NAMES = frozenset("article main".split())  # noqa: SIM905
@@ -62,25 +69,43 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 
 
 class Node:
-    __slots__ = ("children", "depth", "noise", "parent", "path", "tag", "value")
+    __slots__ = ("children", "depth", "headed", "noise", "parent", "path", "size", "soft", "tag", "value")
 
-    def __init__(self, tag: str, parent: Node | None, style: str, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, style: str, noise: bool, soft: int = 0):
+        self.tag, self.parent, self.noise, self.soft = tag, parent, noise or soft > 0, 0 if noise else soft
+        self.size, self.headed = 0, tag in ("h1", "main")
         self.children: list[Node | str] = []
         self.depth, self.value = parent.depth + 1 if parent else 0, -1.0
         self.path = xxhash.xxh64_intdigest(f"{tag} {style}", parent.path if parent else 0)
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """The names that a node's style has, and whether they say that it is no article."""
+def _words(names: str) -> list[str]:
+    return NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
+
+
+def _named(names: str) -> int:
+    """Whether names say that a branch is no article: 0 no, 1 yes, 2 yes, as what readers write."""
+    found: set[str] = set()
+    for token in names.split():
+        words = set(_words(token))
+        if STATE_WORDS.isdisjoint(words):
+            found |= (words & NOISE_NAMES) - (frozenset() if CONTENT_WORDS.isdisjoint(words) else HEADERS)
+    return 0 if not found else 1 if THREAD_NAMES.isdisjoint(found) else 2
+
+
+def _style(tag: str, attrs: str) -> tuple[str, bool, int]:
+    """The names that a node's style has, whether it says that it is no article, and whether a form or its names do (see ``_named``)."""
+    form = int(tag == "form")
     if not attrs or attrs == "/":
-        return "", tag in NOISE_TAGS
+        return "", tag in NOISE_TAGS and not form, form
     values = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(attrs)}
-    names = NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower())
+    text = f"{values.get('class', '')} {values.get('id', '')}"
+    names = set(_words(text))
     role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    noise = tag in NOISE_TAGS or hidden or role in NOISE_ROLES or (tag not in ("html", "body", "article", "main") and not NOISE_NAMES.isdisjoint(names))
-    return f"{' '.join(sorted(set(names)))} {role}".strip(), noise
+    noise = (tag in NOISE_TAGS and not form) or hidden or role in NOISE_ROLES
+    soft = 0 if tag in ("html", "body", "article", "main") or NOISE_NAMES.isdisjoint(names) else _named(text)
+    return f"{' '.join(sorted(names))} {role}".strip(), noise, max(soft, form)
 
 
 def parse(html: str) -> Node:
@@ -121,13 +146,12 @@ def parse(html: str) -> Node:
                     now = up.parent
                     break
                 up = up.parent
-        style, noise = _style(tag, m["attrs"].strip())
-        node = Node(tag, now, style, noise)
+        node = Node(tag, now, *_style(tag, m["attrs"].strip()))
         now.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             node.children.append(html[at : close.start() if close else end])
-            node.noise = True
+            node.noise, node.soft = True, 0
             at = close.end() if close else end
         elif tag not in VOID and not m["attrs"].endswith("/") and node.depth < MAX_DEPTH:
             now = node
@@ -200,15 +224,38 @@ def _squeeze(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def keep_wrappers(root: Node) -> None:
+    """Forms and name-matched branches that hold more than half of the text outside links are no noise."""
+    order, soft, todo = [], [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.soft:
+            soft.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and (c.soft or not c.noise)]
+    if not soft:
+        return
+    for node in reversed(order):
+        node.size = 0 if node.tag == "a" else node.size + sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.headed |= node.headed
+    for node in soft:
+        if 2 * node.size > root.size and (node.soft == 1 or node.headed or node.size == root.size):
+            node.noise = False
+
+
 def main_text(html: str, known: dict[tuple[int, int], float] | None = None) -> str:
     root = parse(html)
-    mains, todo = [], [root]
+    keep_wrappers(root)
+    mains, below, todo = [], [], [(root, False)]
     while todo:
-        node = todo.pop()
-        if _is_main(node):
-            mains.append(node)
-        elif not node.noise:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        node, inside = todo.pop()
+        if _is_main(node) and (not inside or node.tag == "main"):
+            (below if inside else mains).append(node)
+        elif not node.noise or node.soft:
+            todo += [(c, inside or node.noise) for c in reversed(node.children) if isinstance(c, Node)]
+    mains = mains or below
     plain: list[str] = []
     for node in mains or [root]:
         plain.append("\n")

@@ -115,6 +115,25 @@ def test_markup(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = "<article><h1>Title</h1><p>A long story that fills the page with its words.</p></article>"
+SEEN = "Title A long story that fills the page with its words."
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<div class='layout has-sidebar'>{STORY}<div class='sidebar'>s</div></div>", SEEN),
+    (f"<div id='page-with-menu'><nav>n</nav>{STORY}</div>", SEEN), (f"<div class='post-header'>{STORY}</div>", SEEN),
+    (f"<form id='aspnetForm'><div class='menu'><a>{'link ' * 50}</a></div>{STORY}</form>", SEEN),
+    (f"<div class='modal-overlay-page'><div class='widget-area'>{STORY.replace('article', 'div')}</div><div class='comments'>c</div></div>", SEEN),
+    (f"<article><div class='entry-header'><h1>Title</h1></div><div class='social'>s</div><p>{SEEN[6:]}</p></article>", SEEN),
+    (f"<div class='menu-layout'><main><p>short</p></main></div><div class='sidebar'>{'many words ' * 20}</div>", "short"),
+    (f"<div><p>short text</p></div><div class='comments'><p>{'a reader writes ' * 20}</p></div>", "short text"),
+    (f"<div class='comments-open'>{STORY}</div><div class='comments'>c</div>", SEEN), ("<div class='discussion'><p>only this</p></div>", "only this"),
+    (f"<div><p>short text</p></div><div class='mega-menu'><a>{'link ' * 50}</a></div><div class='related'><article><a>{'card ' * 20}</a></article></div>", "short text"),
+])
+def test_wrappers_named_like_noise_keep_their_article(html, text):
+    assert html_text.main_text(f"<body>{html}</body>") == text
+
+
 def test_a_branch_that_all_pages_share_is_removed(spark):
     shared = "<div><p>Read all our terms before you go on.</p></div>"
     rows = [(k, f"https://h.example/{k}", f"<body>{shared}<section><p>Text number {k} with words of its own {k * 7}.</p></section></body>") for k in range(40)]
