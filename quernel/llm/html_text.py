@@ -16,7 +16,7 @@ such branches too.  Entropy judges style nodes that at least ``MIN_PAGES`` pages
 page from which it would take more than half of the text that the rules left keeps that text whole.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one
-space in page order.
+space in page order.  Elements may be nested to any depth: nothing here recurses or walks up all open elements.
 
 Defined cases: null and empty html give an empty text; broken markup is read leniently, and a tag cut off by
 the end is dropped; a null url is a host of its own; repeated rows count as pages and give equal results;
@@ -26,6 +26,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -58,8 +59,6 @@ MAIN_NAMES = frozenset("article main".split())  # noqa: SIM905
 MIN_PAGES = 8
 LEAST_IMPORTANCE = 0.05
 DAMPING = 0.9
-#: Elements nested deeper are read as siblings.
-MAX_DEPTH = 200
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -108,11 +107,44 @@ def _style(tag: str, attrs: str) -> tuple[str, bool, int]:
     return f"{' '.join(sorted(names))} {role}".strip(), noise, max(soft, form)
 
 
+class Open:
+    """The open elements, and for each tag the depths at which it is open."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # depths of those that aren't inline
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(node.depth)
+        if node.tag not in INLINE:
+            self.blocks.append(node.depth)
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from this depth on."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        return (self.at.get(tag) or [0])[-1]
+
+    def first_after(self, tag: str, depth: int) -> int:
+        """The outermost open element of this tag below a depth, 0 if there is none."""
+        found = self.at.get(tag) or []
+        k = bisect_right(found, depth)
+        return found[k] if k < len(found) else 0
+
+
 def parse(html: str) -> Node:
     root = Node("", None, "", False)
-    now, at = root, 0
+    opened, at = Open(root), 0
     end = len(html)
     while at < end:
+        now = opened.stack[-1]
         m = MARKUP.search(html, at)
         if m is None:
             now.children.append(unescape(html[at:]))
@@ -124,28 +156,20 @@ def parse(html: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            up: Node | None = now
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+            if depth := opened.last(tag):
+                opened.cut(depth)
             elif tag in ("p", "br"):
                 now.children.append(Node("br", now, "", False))
             continue
         if tag in CLOSES:
             closed, stops = CLOSES[tag]
-            up = now
-            while up is not None and up.tag not in stops:
-                if up.tag in closed.split():
-                    now = up.parent or now
-                up = up.parent
-        elif tag not in INLINE and tag not in VOID:
-            up = now
-            while up.parent is not None and (up.tag in INLINE or up.tag == "p"):
-                if up.tag == "p":
-                    now = up.parent
-                    break
-                up = up.parent
+            stop = max(map(opened.last, stops))
+            depths = [d for x in closed.split() if (d := opened.first_after(x, stop))]
+            if depths:
+                opened.cut(min(depths))
+        elif tag not in INLINE and tag not in VOID and opened.blocks and opened.stack[opened.blocks[-1]].tag == "p":
+            opened.cut(opened.blocks[-1])
+        now = opened.stack[-1]
         node = Node(tag, now, *_style(tag, m["attrs"].strip()))
         now.children.append(node)
         if tag in RAW:
@@ -153,8 +177,8 @@ def parse(html: str) -> Node:
             node.children.append(html[at : close.start() if close else end])
             node.noise, node.soft = True, 0
             at = close.end() if close else end
-        elif tag not in VOID and not m["attrs"].endswith("/") and node.depth < MAX_DEPTH:
-            now = node
+        elif tag not in VOID and not m["attrs"].endswith("/"):
+            opened.push(node)
     return root
 
 
@@ -182,7 +206,12 @@ def styles(root: Node) -> Iterator[tuple[int, int, int]]:
 def importance(node: Node, known: dict[tuple[int, int], float]) -> float:
     """Of a style node of a page: its own and, damped, that of what stands below it; 1 where the host has too few pages to tell."""
     if node.value < 0:
-        node.value = _importance(node, known)
+        order, todo = [], [node]
+        while todo:
+            order.append(todo.pop())
+            todo += [c for c in order[-1].children if isinstance(c, Node) and c.value < 0 and not c.noise]
+        for below in reversed(order):
+            below.value = _importance(below, known)
     return node.value
 
 
@@ -191,7 +220,7 @@ def _importance(node: Node, known: dict[tuple[int, int], float]) -> float:
         return 0.0
     path = node.path - (1 << 63)
     elements = [c for c in node.children if isinstance(c, Node)]
-    parts = [importance(c, known) for c in elements if not c.noise and c.tag not in VOID]
+    parts = [c.value for c in elements if not c.noise and c.tag not in VOID]
     if any(isinstance(c, str) and c.strip() for c in node.children):
         parts.append(known.get((path, 1), 1.0))
     if not elements:
@@ -206,18 +235,19 @@ def _is_main(node: Node) -> bool:
 
 def _collect(node: Node, out: list[str], drop, lost: list[str] | None = None) -> None:
     """Text of a branch with a line feed at the ends of blocks, without the branches that are noise or that drop() takes."""
-    for c in node.children:
+    todo: list[tuple[Node | str, list[str]]] = [(c, out) for c in reversed(node.children)]
+    while todo:
+        c, to = todo.pop()
         if isinstance(c, str):
-            out.append(c)
+            to.append(c)
         elif c.noise:
-            out.append("" if c.tag in INLINE or c.tag in UNSEEN else "\n")
+            to.append("" if c.tag in INLINE or c.tag in UNSEEN else "\n")
         else:
-            block = c.tag not in INLINE
-            if block:
-                out.append("\n")
-            _collect(c, lost if lost is not None and drop(c) else out, drop if lost is not None else None, lost)
-            if block:
-                out.append("\n")
+            if c.tag not in INLINE:
+                to.append("\n")
+                todo.append(("\n", to))
+            into = lost if lost is not None and drop(c) else to
+            todo += [(x, into) for x in reversed(c.children)]
 
 
 def _squeeze(parts: list[str]) -> str:

@@ -134,6 +134,15 @@ def test_wrappers_named_like_noise_keep_their_article(html, text):
     assert html_text.main_text(f"<body>{html}</body>") == text
 
 
+@pytest.mark.parametrize("depth", [150, 198, 199, 200, 201, 5000, 100_000])
+@pytest.mark.parametrize("tag", ["div", "font", "span"])
+def test_depth_has_no_limit(depth, tag):
+    page = "<body>before" + f"<{tag}>" * depth + f"<nav>n</nav><div><article>{SEEN}<aside>x</aside><div>in</div> tail</article></div><div class=advert>v</div>after</body>"
+    assert html_text.main_text(page) == html_text.main_text(page, {(1, 0): 0.0}) == f"{SEEN} in tail"
+    page = "<body>" + f"<{tag}>" * depth + f"<nav>n</nav><p>a<p>b<ul><li>c<li>d</ul><{tag}>e</{tag}></{tag}>f" + f"</{tag}>" * (depth - 1) + " g"
+    assert html_text.main_text(page) == html_text.main_text(page, {(1, 0): 0.0}) == ("a b c d e f g" if tag == "div" else "a b c d ef g")
+
+
 def test_a_branch_that_all_pages_share_is_removed(spark):
     shared = "<div><p>Read all our terms before you go on.</p></div>"
     rows = [(k, f"https://h.example/{k}", f"<body>{shared}<section><p>Text number {k} with words of its own {k * 7}.</p></section></body>") for k in range(40)]
