@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import held_out_column
+from quernel.llm.common import durable, held_out_column
 
 #: Labelled rows that a classifier is fitted on at most; a hash of the id chooses them.
 MAX_LABELLED = 40_000
@@ -95,14 +95,16 @@ def with_vector(df: DataFrame, make, size: int, id_col: str = "doc_id", text_col
     return map_vectors(rows, "text", make, size, then, f"id {kind}, x array<float>")
 
 
-def training_labels(labels: DataFrame, target: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """id, y double of at most about ``most`` labelled rows outside the held-out fold; several labels of one id count as their largest."""
-    usable = labels.select(labels[id_col].alias("id"), labels[target].cast("double").alias("y")).where("id is not null and y in (0.0, 1.0)")
-    usable = usable.where(~held_out_column(F.col("id")))
+def training_labels(df: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
+    """id, y double of at most about ``most`` labelled ids of ``df`` outside the held-out fold; several labels of one id count as their largest."""
+    usable = labels.select(labels["doc_id"].alias("id"), labels[target].cast("double").alias("y")).where("id is not null and y in (0.0, 1.0)")
+    usable = usable.where(~held_out_column(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    # Copies of an id are combined before they are shuffled.
+    usable = durable(usable.join(df.select(df[id_col].alias("id")).where("id is not null").distinct(), "id", "left_semi"))
     there = usable.count()
     if there > most:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / there))
-    return usable.groupBy("id").agg(F.max("y").alias("y"))
+    return usable
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

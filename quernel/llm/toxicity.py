@@ -104,7 +104,7 @@ def learn_lexicon(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     labelled = df.select(df[id_col].alias("id"), F.lower(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("t")).join(F.broadcast(train), "id")
     words = F.array_distinct(F.split("t", r"[^\p{L}\p{N}]+"))
     labelled = labelled.select("y", words.alias("words"))
-    totals = train.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    totals = labelled.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
     toxic, clean = float(totals[0]), float(totals[1] - totals[0])
     odds: dict[int, dict[str, float]] = {k: {} for k in BEGINNINGS}
     if not toxic or not clean:
@@ -214,7 +214,7 @@ def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """id_col, held_out, score, predicted for every row."""
-    train = durable(features.training_labels(labels, "toxic", most=most))
+    train = features.training_labels(df, labels, "toxic", id_col, most)
     lexicon = learn_lexicon(df, train, id_col, text_col)
     vectors = durable(features.with_vector(df, lexicon.vector, len(NAMES), id_col, text_col))
     model = learn(vectors, train)
@@ -233,7 +233,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """The rows that are predicted 0, each by its own text, with all their columns."""
-    train = durable(features.training_labels(labels, "toxic", most=most))
+    train = features.training_labels(df, labels, "toxic", id_col, most)
     lexicon = learn_lexicon(df, train, id_col, text_col)
     named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
     model = learn(features.with_vector(named, lexicon.vector, len(NAMES), id_col, text_col), train)

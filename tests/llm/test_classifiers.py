@@ -59,6 +59,18 @@ def test_rows_of_one_id_are_kept_or_dropped_by_their_own_text(spark, module, tar
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in module.score(df, labels).where(f"predicted = {kept}").collect()}
 
 
+@pytest.mark.parametrize(("module", "target"), [(quality, "quality"), (toxicity, "toxic")])
+def test_labels_of_other_documents_neither_fill_the_sample_nor_count(spark, module, target):
+    rows = [(k, f"The man walks along the quiet river to boat {k} of many." if k % 2 else f"BAD!! ### $$$ idiot idiot {k} !!! idiot") for k in range(600)]
+    known = [(k, k % 2 if target == "quality" else 1 - k % 2) for k, _ in rows] + [(k, 1) for k in range(1000, 61_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(known, f"doc_id long, {target} int")
+    for most in (700, features.MAX_LABELLED):
+        got = {r.doc_id: r.predicted for r in module.score(df, labels, most=most).collect()}
+        assert all(got[k] == y for k, y in known if k < 1000)
+        assert module.keep(df, labels, most=most).count() == 300
+
+
 def test_isotonic_is_the_best_rising_fit():
     random = np.random.default_rng(1)
     x = random.normal(size=200)
