@@ -37,7 +37,9 @@ def scan_nested_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def scan_row_group(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.scan(spark, f"{sf}/orders.parquet", row_groups=[0]).select("o_orderkey", "o_totalprice")
+    path = f"{sf}/orders.parquet"
+    every = list(range(len(metadata.row_ranges(spark, path))))
+    return scan.scan(spark, path, row_groups=every).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT * FROM part")

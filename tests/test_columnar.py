@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quernel.errors import CorruptMetadata, CorruptPage, InvalidColumnData, InvalidParquetFile, InvalidSchema, UnsupportedCompression, UnsupportedNestedSchema
 from quernel.operators import digest, nested, stats
+from quernel.plans import columnar
 from quernel.sources import metadata, scan, sink
 
 LIST = [(0, None), (1, []), (2, [10, None, 11]), (3, [20])]
@@ -124,6 +125,11 @@ def test_row_groups_by_ordinal(spark, tmp_path):
         scan.scan(spark, path, row_groups=[4])
 
 
+def test_the_row_group_query_reads_all_groups(spark, tmp_path):
+    pq.write_table(pa.table({"o_orderkey": list(range(100)), "o_totalprice": [k * 0.5 for k in range(100)]}), tmp_path / "orders.parquet", row_group_size=30)
+    assert sorted(map(tuple, columnar.scan_row_group(spark, str(tmp_path)).collect())) == [(k, k * 0.5) for k in range(100)]
+
+
 def test_footers(spark, tmp_path):
     path = one_file(tmp_path, pa.table({"id": pa.array([1, 2, 3, 4, 5], pa.int64()), "name": ["ann", None, "cat", "dan", "eve"]}), row_group_size=3)
     got = {(r.row_group, r.column): (r["values"], r.nulls, r.least, r.most) for r in metadata.validate(spark, path).collect()}
