@@ -18,6 +18,8 @@ from quernel.sources import metadata
 
 MAGIC = b"PAR1"
 SMALLEST_FILE = 12
+#: Files whose footers are looked at, one by one, before the vectorised reader is used.
+CHECKED_FILES = 100
 
 
 def scan(spark: SparkSession, path: str, paths: list[str] | None = None, row_groups: list[int] | None = None, verify_crc: bool = True, flat: bool = False, columnar: bool | None = None) -> DataFrame:
@@ -25,14 +27,15 @@ def scan(spark: SparkSession, path: str, paths: list[str] | None = None, row_gro
 
     paths: dotted leaf paths, in order, repeated ones too; only what they need is read.  row_groups: ordinals;
     others aren't returned.  verify_crc: a page whose checksum is wrong is an error.  flat: repeated leaves
-    are refused.  columnar: whether Spark's vectorised reader may be used; by default the footer of the first
-    file tells (see ``needs_row_reader``), and where it may not the session reads by rows from then on.
+    are refused.  columnar: whether Spark's vectorised reader may be used; by default the footers of all files
+    tell (see ``needs_row_reader``), and where it may not, or there are more than ``CHECKED_FILES`` files, the
+    session reads by rows from then on, which is right for all.
     """
     reader = spark.read.option("parquet.page.verify-checksum.enabled", str(verify_crc).lower())
     df = reader.parquet(path)
     if columnar is None:
         files = df.inputFiles()
-        columnar = not files or not needs_row_reader(spark, files[0])
+        columnar = len(files) <= CHECKED_FILES and not any(needs_row_reader(spark, f) for f in files)
     if not columnar:
         spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
     if row_groups is not None:

@@ -130,6 +130,29 @@ def test_the_row_group_query_reads_all_groups(spark, tmp_path):
     assert sorted(map(tuple, columnar.scan_row_group(spark, str(tmp_path)).collect())) == [(k, k * 0.5) for k in range(100)]
 
 
+def test_footers_of_all_files_decide_on_the_reader(spark, tmp_path, monkeypatch):
+    path = tmp_path / "many"
+    path.mkdir()
+    names = [f"label-{k:04}" for k in range(3000)]
+    for k, delta in enumerate([False, False, True]):
+        pq.write_table(pa.table({"name": names}), path / f"part-{k}.parquet", compression="none", use_dictionary=not delta, column_encoding={"name": "DELTA_BYTE_ARRAY"} if delta else None)
+    needs = [scan.needs_row_reader(spark, f) for f in sorted(spark.read.parquet(str(path)).inputFiles())]
+    assert needs == [False, False, True]
+    spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+    try:
+        assert sorted(r.name for r in scan.scan(spark, str(path)).collect()) == sorted(names * 3)
+        assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "false"
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+        (path / "part-2.parquet").unlink()
+        scan.scan(spark, str(path))
+        assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true"
+        monkeypatch.setattr(scan, "CHECKED_FILES", 1)
+        scan.scan(spark, str(path))
+        assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "false"
+    finally:
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+
+
 def test_footers(spark, tmp_path):
     path = one_file(tmp_path, pa.table({"id": pa.array([1, 2, 3, 4, 5], pa.int64()), "name": ["ann", None, "cat", "dan", "eve"]}), row_group_size=3)
     got = {(r.row_group, r.column): (r["values"], r.nulls, r.least, r.most) for r in metadata.validate(spark, path).collect()}
