@@ -1,9 +1,11 @@
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import html_text, vptree
 from quernel.llm.queries import op6_nearest, op9_html_text
@@ -138,9 +140,9 @@ def test_wrappers_named_like_noise_keep_their_article(html, text):
 @pytest.mark.parametrize("tag", ["div", "font", "span"])
 def test_depth_has_no_limit(depth, tag):
     page = "<body>before" + f"<{tag}>" * depth + f"<nav>n</nav><div><article>{SEEN}<aside>x</aside><div>in</div> tail</article></div><div class=advert>v</div>after</body>"
-    assert html_text.main_text(page) == html_text.main_text(page, {(1, 0): 0.0}) == f"{SEEN} in tail"
+    assert html_text.main_text(page) == html_text.main_text(page, {1: (0.0, 0.0)}) == f"{SEEN} in tail"
     page = "<body>" + f"<{tag}>" * depth + f"<nav>n</nav><p>a<p>b<ul><li>c<li>d</ul><{tag}>e</{tag}></{tag}>f" + f"</{tag}>" * (depth - 1) + " g"
-    assert html_text.main_text(page) == html_text.main_text(page, {(1, 0): 0.0}) == ("a b c d e f g" if tag == "div" else "a b c d ef g")
+    assert html_text.main_text(page) == html_text.main_text(page, {1: (0.0, 0.0)}) == ("a b c d e f g" if tag == "div" else "a b c d ef g")
 
 
 def test_a_branch_that_all_pages_share_is_removed(spark):
@@ -150,10 +152,65 @@ def test_a_branch_that_all_pages_share_is_removed(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert all(got[k] == f"Text number {k} with words of its own {k * 7}." for k in range(40))
-    assert got[100] == "Read all our terms before you go on. Alone." and got[101] == "no url" and got[102] == "" and got[103] == ""
+    # A host with one page has the template of the others.
+    assert got[100] == "Alone." and got[101] == "no url" and got[102] == "" and got[103] == ""
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<a ", '<a "', "<a '", "<p a=b", "</script ", "<script></script ", "<!-", "<", '<a href="x', "<div>", "<b>", "</p>", "<li>", "<td a='", "&amp"])
+def test_hostile_pages_take_time_in_proportion(page):
+    html_text.main_text(page * (100_000 // len(page)))
+    started = time.process_time()
+    html_text.main_text(page * (1_000_000 // len(page)) + "x")
+    assert time.process_time() - started < 15
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>a<a b=\"c>d</p>e", "ad e"), ("<p title='>'>a</p>", "a"), ("a < b > c <3", "a < b > c <3"), ("<p a='x' A=y>a<br/>b", "a b"), ("<p>x</p junk='>'>y", "x y"), ("<?php a ?>x<!DOCTYPE html>y", "xy"),
+    ("<p>one<p class=x\"y>two", "one two"), ("<SCRIPT>a</script x>b", "b"), ("<title>a</titlex>b</title>c", "c"), ("a<", "a"), ("a</", "a"), ("a<!", "a"), ("<é>x", "<é>x"),
+])
+def test_tags_are_scanned_forwards(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article>a<h2 class='related-work'>b</h2><p class='social-history'>c</p><div class='alert-rates'>d</div></article>", "a b c d"),
+    (f"<div class='content no-sidebar'>{STORY}</div>", SEEN), (f"<div class='content no-sidebar'>{STORY.replace('article', 'div')}</div>", SEEN),
+    (f"<div class='comment-list'>{'a reader writes ' * 9}</div><div class='widget-area'>{STORY}</div>", SEEN),
+    (f"<main><p>{SEEN}</p><article><p>card</p></article></main><p>else</p>", f"{SEEN} card"), (f"<article><header><h1>Title</h1></header><p>{SEEN[6:]}</p><footer>f</footer></article>", SEEN),
+    (f"{STORY}<section class='userComments'>c</section><div id=footerLinks>f</div><span class=ad>v</span>", SEEN),
+])
+def test_names_speak_by_their_head(html, text):
+    assert html_text.main_text(f"<body>{html}</body>") == text
+
+
+def test_the_tree_tells_boilerplate_by_itself(spark):
+    """Pages whose parts no name tells apart: without the tree all of them keep their menu, with it a host of enough pages loses it."""
+    random.seed(4)
+    words = [f"word{k}" for k in range(400)]
+    say = lambda n: " ".join(random.choices(words, k=n))
+    pool = [say(6) for _ in range(12)]
+    rows, want = [], {}
+    for k in range(400):
+        story = [say(30) for _ in range(4)]
+        want[k] = " ".join(story)
+        html = f"<body><div><ul><li>{random.choice(pool)}<li>{random.choice(pool)}</ul></div><div>{random.choice(pool)}</div><section>{''.join(f'<p>{x}</p>' for x in story)}</section></body>"
+        rows.append((k, f"https://h{k % 3}.example/{k}", html))
+    assert all(html_text.main_text(html) != want[k] for k, _, html in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got == want
+    assert got == {r.page_id: r.text for r in html_text.extract(df, broadcast_rows=0).collect()}
+
+
+def test_other_columns_and_repeated_rows(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumns({"host": F.lit("x"), "text": F.lit(1), "path": F.lit(2), "page": F.lit(3), "known": F.lit(4)})
+    plain = {(r.page_id, r.url, r.text, r.n_chars) for r in op9_html_text(spark, sf).collect()}
+    for rows in (0, 10**6):
+        got = html_text.extract(pages.union(pages), broadcast_rows=rows).collect()
+        assert len(got) == 2 * pages.count() and {tuple(r) for r in got} == plain
+
+
 def test_pages_that_are_copies_keep_their_text(spark):
     df = spark.createDataFrame([(k, "https://h.example/", "<article><h1>T</h1><p>The same text.</p></article>") for k in range(30)], "page_id long, url string, html string")
     assert {r.text for r in html_text.extract(df).collect()} == {"T The same text."}
