@@ -51,6 +51,21 @@ def test_many_shards_ties_and_equal_vectors(spark, hot):
     same(found(got.collect()), brute(vectors, [i for i in vectors if i % 20 == 0], 7))
 
 
+def test_queries_go_only_to_cells_that_may_hold_neighbours(spark):
+    random = np.random.default_rng(6)
+    centres = random.normal(size=(40, 6)) * 20
+    vectors = {k: (centres[k % 40] + random.normal(size=6)).tolist() for k in range(4000)} | {k: [float(k), 1.0] for k in range(5000, 5600)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(4)
+    built = vptree.index(df, shard_rows=100)
+    assert len(built.cells) == 2 and built.trees.select("dim", "cell").distinct().count() > 20
+    asked = [i for i in vectors if i % 20 == 0]
+    same(found(vptree.search(built, df.where("vec_id % 20 = 0"), k=5).collect()), brute({k: v for k, v in vectors.items() if len(v) == 6}, [i for i in asked if i < 5000], 5) | brute({k: v for k, v in vectors.items() if len(v) == 2}, [i for i in asked if i >= 5000], 5))
+    outer = built.cells[6]
+    of = np.array([vectors[i] for i in asked if i < 5000])
+    visits = sum(len(who) for _, who in outer.allowed(of, np.full(len(of), 4.0)))
+    assert visits < 0.25 * len(of) * sum(n[0] < 0 for n in outer.nodes)
+
+
 def test_relaxed_search_keeps_most_neighbours(spark):
     random = np.random.default_rng(3)
     vectors = {k: random.normal(size=8).tolist() for k in range(3000)}
