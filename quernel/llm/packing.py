@@ -36,10 +36,12 @@ from quernel.llm.common import durable
 CAPACITY = 2048
 END_ID = 0
 #: Lengths over capacity // part are large.  Each of these is tried and the plan with fewest sequences is taken:
-#: with a smaller share of large lengths less is lost by rounding up, with a larger one more is optimised.
-LARGE_PARTS = (2, 3)
+#: with 2 every large piece begins a sequence, which is best where small pieces fill all that is left; with 4
+#: configurations of up to three large pieces are optimised, which is best where small pieces are few.
+LARGE_PARTS = (2, 4)
 GROUPS = 256
-MAX_COLUMNS = 1500
+#: Sequences that a better plan of the large pieces could save at most.
+CLOSE = 0.5
 #: Rows of a rank bucket.
 BUCKET_ROWS = 200_000
 MIN_BUCKETS = 32
@@ -92,41 +94,54 @@ def linear_groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Multisets of sizes (by index) that fit the capacity, and how often to use each: the optimum of the relaxed covering problem, rounded down."""
-    k = len(sizes)
-    need = np.array(demand, float)
+    """Multisets of sizes (by index, longest first) that fit the capacity, and how often to use each, rounded down.
+
+    The relaxed covering problem by column generation, until no plan can use ``CLOSE`` sequences fewer: what the
+    prices of a round give, divided by the value of the best multiset at these prices, is a bound for every plan.
+    """
+    k, most = len(sizes), capacity // min(sizes)
+    need, room = np.array(demand, float), np.arange(capacity + 1)
     basis = np.diag([float(capacity // s) for s in sizes])
-    use = need / np.diag(basis)
-    most = capacity // min(sizes)
-    for _ in range(MAX_COLUMNS):
-        prices = np.linalg.solve(basis.T, np.ones(k))
-        # The best configuration of at most j sizes for every capacity, j = 1, 2, ...
+    inverse = np.linalg.inv(basis)
+    rounds = 0
+    while True:
+        prices = inverse.sum(axis=0)
+        # A size that a shorter one is worth as much as is in no best multiset.
+        worth, dearest = [], 0.0
+        for g in range(k - 1, -1, -1):
+            if prices[g] > dearest:
+                worth.append(g)
+                dearest = prices[g]
+        # The best multiset of at most j sizes for every amount of room, j = 1, 2, ...
         best, picks = np.zeros(capacity + 1), []
         for _ in range(most):
-            values = np.full((k + 1, capacity + 1), -np.inf)
-            values[k] = best
-            for g, s in enumerate(sizes):
-                if prices[g] > 0:
-                    values[g, s:] = best[: capacity + 1 - s] + prices[g]
+            values = np.full((len(worth) + 1, capacity + 1), -np.inf)
+            values[-1] = best
+            for n, g in enumerate(worth):
+                values[n, sizes[g] :] = best[: capacity + 1 - sizes[g]] + prices[g]
             pick = values.argmax(axis=0)
-            best = values[pick, np.arange(capacity + 1)]
+            best = values[pick, room]
             picks.append(pick)
-        if best[capacity] <= 1 + 1e-9:
+        use = inverse @ need
+        if use.sum() * (1 - 1 / max(best[capacity], 1.0)) <= CLOSE:
             break
         column, w = np.zeros(k), capacity
         for pick in reversed(picks):
-            if pick[w] < k:
-                column[pick[w]] += 1
-                w -= sizes[pick[w]]
-        step = np.linalg.solve(basis, column)
-        rising = step > 1e-12
-        if not rising.any():
-            break
-        ratio = np.where(rising, use / np.where(rising, step, 1), np.inf)
+            if pick[w] < len(worth):
+                column[worth[pick[w]]] += 1
+                w -= sizes[worth[pick[w]]]
+        step = inverse @ column
+        rising = step > 1e-9
+        ratio = np.where(rising, np.maximum(use, 0) / np.where(rising, step, 1), np.inf)
         out = int(ratio.argmin())
-        use = np.maximum(use - step * ratio[out], 0)
-        use[out] = ratio[out]
         basis[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+        rounds += 1
+        if rounds % 100 == 0:  # against rounding errors
+            inverse = np.linalg.inv(basis)
+    use = np.linalg.solve(basis, need)
     return [({g: int(round(c)) for g, c in enumerate(basis[:, j]) if c > 0.5}, int(use[j] + 1e-9)) for j in range(k)]
 
 

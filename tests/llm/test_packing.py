@@ -37,9 +37,49 @@ def test_plans_are_near_the_lower_bound(seed):
     assert check_plan(counts) <= 1.01 * fewest + 1
 
 
-def test_configurations_cover_with_an_optimal_rate():
-    made = packing.configurations([1000, 600, 400], [100, 100, 100], 2048)
-    assert all(sum([1000, 600, 400][g] * n for g, n in c.items()) <= 2048 for c, _ in made)
+def multisets(sizes, capacity):
+    """All that fit, by plain recursion."""
+    if not sizes:
+        return [()]
+    return [(n, *rest) for n in range(capacity // sizes[0] + 1) for rest in multisets(sizes[1:], capacity - n * sizes[0])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_configurations_reach_the_bound_of_all_multisets(seed):
+    random.seed(seed)
+    sizes = sorted(random.sample(range(20, 99), 6), reverse=True)
+    demand = [random.randint(50, 400) for _ in sizes]
+    made = packing.configurations(sizes, demand, 100)
+    assert all(sum(sizes[g] * n for g, n in c.items()) <= 100 for c, _ in made)
+    assert all(sum(c.get(g, 0) * n for c, n in made) <= demand[g] for g in range(6))
+    # The dual of the relaxed problem over every multiset, by the simplex method written out on the other side: prices
+    # that no multiset exceeds bound every plan from below, and the plan that was found comes within rounding of them.
+    every = [m for m in multisets(sizes, 100) if any(m)]
+    basis = np.array([[c.get(g, 0) for g in range(6)] for c, _ in made], float)
+    prices = np.linalg.solve(basis, np.ones(6))
+    most = max(np.dot(prices, m) for m in every)
+    bound = np.dot(prices, demand) / max(most, 1.0)
+    assert bound - 1e-6 <= np.dot(prices, demand) <= bound + packing.CLOSE + 1e-6
+    assert sum(n for _, n in made) >= np.dot(prices, demand) - 6
+
+
+def test_plans_use_configurations_of_several_sizes():
+    """Three sizes that fill a sequence together, of which best fit would put two alike ones first."""
+    counts = {800: 1000, 700: 1000, 540: 1000}
+    assert check_plan(counts) <= 1004
+    plain = packing.Runs(2048)
+    for length in sorted(counts, reverse=True):
+        plain.best_fit(length, counts[length])
+    assert sum(count for runs in plain.by_gap.values() for count, _ in runs) >= 1080
+    assert sum(count for count, held in packing.plan(counts) if len(held) == 3) >= 990
+    random.seed(9)
+    many = defaultdict(int)
+    for _ in range(20_000):
+        many[max(1, min(2048, int(random.lognormvariate(6.5, 0.3))))] += 1
+    plain = packing.Runs(2048)
+    for length in sorted(many, reverse=True):
+        plain.best_fit(length, many[length])
+    assert check_plan(many) < 0.99 * sum(count for runs in plain.by_gap.values() for count, _ in runs)
 
 
 def verify(rows, texts, capacity=2048):
