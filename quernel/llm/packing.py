@@ -77,7 +77,9 @@ def pieces(df: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
 
 
 def linear_groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """(length, count), longest first, in groups of equal cardinality; a length may lie in two of them."""
+    """(length, count), longest first, in groups of equal cardinality; a length may lie in two of them.  Few lengths are a group each: nothing need be rounded."""
+    if len(large) <= groups:
+        return [[x] for x in large]
     total = sum(n for _, n in large)
     out: list[list[tuple[int, int]]] = [[]]
     room = -(-total // groups)
