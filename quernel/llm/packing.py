@@ -102,7 +102,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     prices of a round give, divided by the value of the best multiset at these prices, is a bound for every plan.
     """
     k, most = len(sizes), capacity // min(sizes)
-    need, room = np.array(demand, float), np.arange(capacity + 1)
+    room = np.arange(capacity + 1)
+    # Equal demands would let rounds go in a circle, so each differs a little.
+    need = np.array(demand, float) + np.random.default_rng(0).uniform(1e-5, 1e-4, k)
     basis = np.diag([float(capacity // s) for s in sizes])
     inverse = np.linalg.inv(basis)
     rounds = 0
@@ -143,7 +145,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         rounds += 1
         if rounds % 100 == 0:  # against rounding errors
             inverse = np.linalg.inv(basis)
-    use = np.linalg.solve(basis, need)
+    use = np.maximum(np.linalg.solve(basis, np.array(demand, float)), 0)
     return [({g: int(round(c)) for g, c in enumerate(basis[:, j]) if c > 0.5}, int(use[j] + 1e-9)) for j in range(k)]
 
 

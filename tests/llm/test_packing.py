@@ -63,6 +63,14 @@ def test_configurations_reach_the_bound_of_all_multisets(seed):
     assert sum(n for _, n in made) >= np.dot(prices, demand) - 6
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_equal_demands_end(seed):
+    random.seed(seed)
+    counts = {n: 1 for n in random.sample(range(500, 2048), random.choice([60, 120, 200]))}
+    fewest = -(-sum(counts) // 2048)
+    assert fewest <= check_plan(counts) <= 1.25 * fewest + 1
+
+
 def test_plans_use_configurations_of_several_sizes():
     """Three sizes that fill a sequence together, of which best fit would put two alike ones first."""
     counts = {800: 1000, 700: 1000, 540: 1000}
