@@ -14,11 +14,11 @@ from quernel.operators import digest, nested, stats
 from quernel.plans import columnar
 from quernel.sources import metadata, scan, sink
 
-LIST = [(0, None), (1, []), (2, [10, None, 11]), (3, [20])]
-NESTED = [(0, None), (1, []), (2, [None, [], [1, None, 2]]), (3, [[3]])]
-MAP = [(0, None), (1, {}), (2, {1: 10, 2: None}), (3, {3: 20})]
-LIST_MAP = [(0, None), (1, []), (2, [None, {}, {"aa": 1, "b": None}]), (3, [{"c": 3}])]
-NESTED_MAP = [(0, None), (1, {}), (2, {"aa": None, "b": {}, "ccc": {1: True, 2: False}}), (3, {"d": {3: True}})]
+LIST = [(0, [5]), (1, None), (2, []), (3, [None, 6, 7, None]), (4, [])]
+NESTED = [(0, [[7, 8], []]), (1, [[]]), (2, None), (3, [None, [None], [9]]), (4, [])]
+MAP = [(0, {4: 40, 5: 50, 6: None}), (1, None), (2, {}), (3, {7: None}), (4, {})]
+LIST_MAP = [(0, [{"p": 4}, {"q": None, "r": 6}]), (1, [{}]), (2, [None, {"s": 2}]), (3, None), (4, [])]
+NESTED_MAP = [(0, {"left": {8: False}, "right": {}}), (1, {}), (2, {"up": None, "down": {5: None, 6: True, 9: False}}), (3, None)]
 
 
 def levels(df, path):
@@ -27,11 +27,11 @@ def levels(df, path):
 
 def test_triplets_of_a_list(spark):
     df = spark.createDataFrame(LIST, "id long, a array<int>")
-    assert levels(df, "a.list.element") == [(0, 0, None), (0, 1, None), (0, 3, 10), (1, 2, None), (1, 3, 11), (0, 3, 20)]
+    assert levels(df, "a.list.element") == [(0, 3, 5), (0, 0, None), (0, 1, None), (0, 2, None), (1, 3, 6), (1, 3, 7), (1, 2, None), (0, 1, None)]
     made = nested.triplets(df, "a.list.element", "id")
     nested.check_levels(made, 3, 1)
     assert {r.row: r["items"] for r in nested.assemble_lists(made).collect()} == dict(LIST)
-    assert nested.level_starts(made, 0).count() == 4
+    assert nested.level_starts(made, 0).count() == 5
     with pytest.raises(CorruptPage):
         nested.check_levels(made.withColumn("rep", F.lit(1)), 3, 1)
 
@@ -39,26 +39,26 @@ def test_triplets_of_a_list(spark):
 def test_triplets_of_nested_lists(spark):
     df = spark.createDataFrame(NESTED, "id long, a array<array<int>>")
     got = levels(df, "a.list.element.list.element")
-    assert len(got) == 8 and sum(v is None for _, _, v in got) == 5
-    assert got == [(0, 0, None), (0, 1, None), (0, 2, None), (1, 3, None), (1, 5, 1), (2, 4, None), (2, 5, 2), (0, 5, 3)]
+    assert len(got) == 9 and sum(v is None for _, _, v in got) == 6
+    assert got == [(0, 5, 7), (2, 5, 8), (1, 3, None), (0, 3, None), (0, 0, None), (0, 2, None), (1, 4, None), (1, 5, 9), (0, 1, None)]
     outer, inner, slots = nested.nested_levels(df, "a.list.element.list.element", "id")
-    assert (outer.agg(F.sum("length")).first()[0], inner.agg(F.sum("length")).first()[0]) == (4, 4)
+    assert (outer.agg(F.sum("length")).first()[0], inner.agg(F.sum("length")).first()[0]) == (6, 4)
     assert outer.where("not valid").count() == 1 and inner.where("not valid").count() == 1
     total = nested.payload(df, "a.list.element.list.element", "id").first()
-    assert (total.slots, total.present, total.nulls, total.total) == (4, 3, 1, 6) and slots.count() == 4
+    assert (total.slots, total.present, total.nulls, total.total) == (4, 3, 1, 24) and slots.count() == 4
 
 
 def test_levels_of_maps(spark):
     df = spark.createDataFrame(MAP, "id long, m map<int,int>")
-    assert len(levels(df, "m.key_value.key")) == 5 and len(levels(df, "m.key_value.value")) == 5
-    assert {(r.row, r.key, r.value) for r in nested.map_view(df, "m", "id").collect()} == {(2, 1, 10), (2, 2, None), (3, 3, 20)}
+    assert len(levels(df, "m.key_value.key")) == 7 and len(levels(df, "m.key_value.value")) == 7
+    assert {(r.row, r.key, r.value) for r in nested.map_view(df, "m", "id").collect()} == {(0, 4, 40), (0, 5, 50), (0, 6, None), (3, 7, None)}
     deep = spark.createDataFrame(NESTED_MAP, "id long, m map<string,map<int,boolean>>")
     paths = ["m.key_value.key", "m.key_value.value.key_value.key", "m.key_value.value.key_value.value"]
-    assert [len(levels(deep, p)) for p in paths] == [6, 7, 7]
+    assert [len(levels(deep, p)) for p in paths] == [6, 8, 8]
     listed = spark.createDataFrame(LIST_MAP, "id long, a array<map<string,int>>")
-    assert [len(levels(listed, f"a.list.element.key_value.{p}")) for p in ("key", "value")] == [7, 7]
+    assert [len(levels(listed, f"a.list.element.key_value.{p}")) for p in ("key", "value")] == [8, 8]
     pairs = nested.map_pair(listed, "a.list.element.key_value.key", "a.list.element.key_value.value", "id").collect()
-    assert {(r.row, tuple(r["at"]), r.key, r.value) for r in pairs} == {(2, (2, 0), "aa", 1), (2, (2, 1), "b", None), (3, (0, 0), "c", 3)}
+    assert {(r.row, tuple(r["at"]), r.key, r.value) for r in pairs} == {(0, (0, 0), "p", 4), (0, (1, 0), "q", None), (0, (1, 1), "r", 6), (2, (1, 0), "s", 2)}
     with pytest.raises(UnsupportedNestedSchema):
         nested.map_pair(df.withColumn("a", F.array(F.lit(1))), "m.key_value.key", "a.list.element", "id")
 
@@ -82,7 +82,7 @@ def test_leaves_and_paths(spark):
 @pytest.mark.parametrize("version", [1, 2])
 def test_every_codec_and_page_version(spark, tmp_path, codec, version):
     spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
-    rows = [(k, k * 0.25, None if k % 7 == 0 else f"label-{k & 15}", bytes([k % 256] * (k % 5)), LIST[k % 4][1], MAP[k % 4][1], NESTED[k % 4][1]) for k in range(1025)]
+    rows = [(k, k * 0.25, None if k % 7 == 0 else f"label-{k & 15}", bytes([k % 256] * (k % 5)), LIST[k % 5][1], MAP[k % 5][1], NESTED[k % 5][1]) for k in range(1025)]
     df = spark.createDataFrame(rows, "id long, score double, name string, blob binary, l array<int>, m map<int,int>, n array<array<int>>")
     path = str(tmp_path / "out")
     sink.write(df.coalesce(1), path, codec=codec, page_rows=100, page_version=version, crc=True, dictionary=version == 1)

@@ -8,11 +8,11 @@ from quernel.functions.interpreter import Environment, Options, float_text
 
 #: (document, template, text); each goes through the interpreter and the compiler.
 CASES = [
-    ({"user": {"name": "Bo <Reed>", "admin": True}, "items": ["tin", "iron"], "empty": [""][:0]}, "{{ user.name }}{% if user.admin %} admin{% else %} guest{% endif %}", "Bo &lt;Reed&gt; admin"),
-    ({"items": ["tin", "iron"]}, "{% for i in items %}[{{ loop.index }}:{{ i|upper }}]{% endfor %}{{ missing|default(\"fallback\") }}", "[1:TIN][2:IRON]fallback"),
-    ({"raw": "<b>trusted</b>"}, "{{ raw }}|{{ raw|safe }}", "&lt;b&gt;trusted&lt;/b&gt;|<b>trusted</b>"),
-    ({"names": ["ada", "grace"], "count": 2}, "{% if count >= 2 %}ok{% endif %}{% if 'ada' in names|join(',') %}in{% endif %}{% if nothing is undefined %}missing{% endif %}", "okinmissing"),
-    ({"a": 1}, "A {%- if a %} B {% endif -%} C", "A B C"),
+    ({"part": {"sku": "A&B \"x\"", "spare": False}}, "{{ part.sku }}:{% if part.spare %}spare{% elif part.sku %}named{% else %}bare{% endif %}", "A&amp;B &#34;x&#34;:named"),
+    ({"depths": [4, 0, 9], "shelf": [""][:0]}, "{% for d in depths %}{{ d }}{% if not loop.last %},{% endif %}{% else %}none{% endfor %};{% for b in shelf %}{{ b }}{% else %}bare{% endfor %}", "4,0,9;bare"),
+    ({"note": "5 > 3 & so on"}, "{{ note }}~{{ note|safe }}~{{ note|safe|upper }}", "5 &gt; 3 &amp; so on~5 > 3 & so on~5 &gt; 3 &amp; SO ON"),
+    ({"rivers": ["Oder", "Main"], "flow": 7.5}, "{% if flow > 7 and 'Main' in rivers %}deep{% endif %}{% if 'Rhein' not in rivers|join('/') %} no{% endif %}{% if gauge is defined %}!{% else %} gauge{% endif %}", "deep no gauge"),
+    ({"n": 2}, "x\n {%- set m = n -%} \ty {{- m -}}  z", "xy2z"),
     ({"a": "x"}, "{# note #}{{ a }}{# {{ a }} #}", "x"),
     ({"a": "x"}, "open {{ a", "open {{ a"),
     ({"a": 10}, "{{ '10' == a }}{{ a == 10.0 }}{{ true == 1 }}{{ nothing == '' }}", "truetruetruetrue"),
@@ -49,14 +49,14 @@ def test_both_ways(spark, case):
 
 def test_includes(spark):
     environment = Environment()
-    environment.add_template("row", "{{ o.id }}={{ o.total }};")
-    source = "{% for o in orders %}{{ loop.index }}. #{% include \"row\" %}{% endfor %}"
-    document = {"orders": [{"id": 7, "total": 42.5}, {"id": 8, "total": 13.0}]}
-    assert environment.render(source, document) == "1. #7=42.5;2. #8=13;"
+    environment.add_template("ring", "{{ tree.name }}/{{ tree.rings }}")
+    source = "{% for tree in grove %}{% include 'ring' %}{% if not loop.last %} + {% endif %}{% endfor %}"
+    document = {"grove": [{"name": "oak", "rings": 120.0}, {"name": "yew", "rings": 8.25}]}
+    assert environment.render(source, document) == "oak/120 + yew/8.25"
     df = spark.read.json(spark.sparkContext.parallelize([json.dumps(document)]))
-    assert df.select(render(df, source, environment).alias("t")).first().t == "1. #7=42.5;2. #8=13;"
-    environment.add_template("partial", "{{ name|lower }}")
-    assert environment.render('A {%- include "partial" -%} B', {"name": "Kim"}) == "AkimB"
+    assert df.select(render(df, source, environment).alias("t")).first().t == "oak/120 + yew/8.25"
+    environment.add_template("depth", "{{ metres }}m")
+    assert environment.render("( {%- include 'depth' -%}\n)", {"metres": 12}) == "(12m)"
     environment.add_template("self", "{% include 'self' %}")
     with pytest.raises(BadSyntax):
         environment.render("{% include 'self' %}", {})
