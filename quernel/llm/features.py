@@ -95,12 +95,17 @@ def with_vector(df: DataFrame, make, size: int, id_col: str = "doc_id", text_col
     return map_vectors(rows, "text", make, size, then, f"id {kind}, x array<float>")
 
 
-def training_labels(df: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """id, y double of at most about ``most`` labelled ids of ``df`` outside the held-out fold; several labels of one id count as their largest."""
+def training_labels(df: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
+    """id, y double of at most about ``most`` labelled ids of ``df`` outside the held-out fold.
+
+    Several labels of one id count as their largest; an id with several texts is left out, as its label can't be told to be of one of them.
+    """
     usable = labels.select(labels["doc_id"].alias("id"), labels[target].cast("double").alias("y")).where("id is not null and y in (0.0, 1.0)")
     usable = usable.where(~held_out_column(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    # Copies of an id are combined before they are shuffled.
-    usable = durable(usable.join(df.select(df[id_col].alias("id")).where("id is not null").distinct(), "id", "left_semi"))
+    # Rows of an id are combined before they are shuffled.
+    texts = df.select(df[id_col].alias("id"), F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("text")).where("id is not null")
+    of_one_text = texts.groupBy("id").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a = b")
+    usable = durable(usable.join(of_one_text, "id", "left_semi"))
     there = usable.count()
     if there > most:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / there))

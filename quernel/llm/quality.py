@@ -103,8 +103,8 @@ def fit(rows: DataFrame, fourier: int = FOURIER) -> Model | None:
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """id_col, held_out, score, predicted for every row."""
     vectors = durable(features.with_vector(df, features.statistics, len(features.STATISTICS), id_col, text_col))
-    train = features.training_labels(df, labels, "quality", id_col, most)
-    model = fit(vectors.join(F.broadcast(train), "id"))  # bounded by ``most``
+    train = features.training_labels(df, labels, "quality", id_col, text_col, most)
+    model = fit(vectors.join(F.broadcast(train), "id").dropDuplicates(["id"]))  # bounded by ``most``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,10 +118,10 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """The rows that are predicted 1, each by its own text, with all their columns."""
-    train = features.training_labels(df, labels, "quality", id_col, most)
+    train = features.training_labels(df, labels, "quality", id_col, text_col, most)
     named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
     vectors = features.with_vector(named, features.statistics, len(features.STATISTICS), id_col, text_col)
-    model = fit(vectors.join(F.broadcast(train), "id"))
+    model = fit(vectors.join(F.broadcast(train), "id").dropDuplicates(["id"]))
 
     def good(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
         made = features.calibrated(model.raw(x.astype(np.float64)), model.knots) if model else np.full(len(x), 0.5)

@@ -206,7 +206,8 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Model | None:
 
 def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
     """vectors: id, x of the labelled rows at least; train: id, y of a bounded sample."""
-    sample = vectors.join(F.broadcast(train), "id").withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0)
+    # One row an id, so that repeated rows don't outgrow the sample.
+    sample = vectors.join(F.broadcast(train), "id").dropDuplicates(["id"]).withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0)
     rows = sample.select("x", "y", "calibrate").toArrow()  # bounded by the sample
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64) if len(rows) else np.zeros((0, len(NAMES)))
     return fit(x, rows["y"].to_numpy(), rows["calibrate"].to_numpy(zero_copy_only=False).astype(bool))
@@ -214,7 +215,7 @@ def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """id_col, held_out, score, predicted for every row."""
-    train = features.training_labels(df, labels, "toxic", id_col, most)
+    train = features.training_labels(df, labels, "toxic", id_col, text_col, most)
     lexicon = learn_lexicon(df, train, id_col, text_col)
     vectors = durable(features.with_vector(df, lexicon.vector, len(NAMES), id_col, text_col))
     model = learn(vectors, train)
@@ -233,7 +234,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """The rows that are predicted 0, each by its own text, with all their columns."""
-    train = features.training_labels(df, labels, "toxic", id_col, most)
+    train = features.training_labels(df, labels, "toxic", id_col, text_col, most)
     lexicon = learn_lexicon(df, train, id_col, text_col)
     named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
     model = learn(features.with_vector(named, lexicon.vector, len(NAMES), id_col, text_col), train)

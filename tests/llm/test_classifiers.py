@@ -71,6 +71,20 @@ def test_labels_of_other_documents_neither_fill_the_sample_nor_count(spark, modu
         assert module.keep(df, labels, most=most).count() == 300
 
 
+@pytest.mark.parametrize(("module", "target"), [(quality, "quality"), (toxicity, "toxic")])
+def test_repeated_and_shared_ids_in_the_sample(spark, module, target):
+    good = "The man walks along the quiet river to boat {} of many."
+    bad = "BAD!! ### $$$ idiot idiot {} !!! idiot"
+    rows = [(k, (good if k % 2 else bad).format(k)) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2 if target == "quality" else 1 - k % 2) for k, _ in rows], f"doc_id long, {target} int")
+    # Id 1 is repeated, and id 3 is shared by texts of both kinds.
+    df = spark.createDataFrame(rows + [rows[1]] * 300 + [(3, bad.format(3))], "doc_id long, text string")
+    usable = {r.id for r in features.training_labels(df, labels, target).collect()}
+    assert 1 in usable and 3 not in usable
+    assert len(usable) == sum(not held_out(k) for k in range(400) if k != 3)
+    assert module.keep(df, labels).count() == 500
+
+
 def test_isotonic_is_the_best_rising_fit():
     random = np.random.default_rng(1)
     x = random.normal(size=200)
