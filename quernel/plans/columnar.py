@@ -14,8 +14,11 @@ from quernel.sources import metadata, scan, sink
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: in the checkpoint folder if there is one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernel-")
+    """A new folder that all executors see: in the checkpoint folder, or in local mode without one a temporary folder."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="quernel-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
