@@ -2,7 +2,8 @@
 
 1. A narrow table (id, size, checksum, 64-bit key of the text) is made once and written durably.
 2. Key samples are drawn with a chance proportional to a row's size, and their quantiles become range
-   boundaries.  The number of ranges follows the input (``RANGE_ROWS`` rows each), so does the sample.
+   boundaries.  The number of ranges follows the input (``RANGE_ROWS`` rows each), so does the sample; both
+   stay tables, summed inside the key's leading bits, so neither meets in one task or on the driver.
 3. Rows are put into ranges; ranges that hold too many rows (one text with a third of all rows has one
    key) are subdivided by a hash of the row, so that no task sorts an unbounded range.
 4. Exact sums of the ranges give each row its place in the total order, in bytes; a shard is an equal
@@ -20,7 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,39 +44,52 @@ def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return durable(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
-    """Boundaries (key, hash of id) of about equal bytes from a size-weighted sample; at most ``ranges`` of them come to the driver."""
+def _prefix(key: Column) -> Column:
+    return F.shiftright(key, 64 - PREFIX_BITS)
+
+
+def _summed(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before each one in the order of prefix, then ``order``.
+
+    A window runs inside one prefix only; one row for each prefix, 2^PREFIX_BITS at most, carries the sums on.
+    """
+    whole = df.groupBy("prefix").agg(F.sum(amount).alias("__whole"))
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("prefix", F.coalesce(F.sum("__whole").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("prefix").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(F.broadcast(starts), "prefix")
+    return summed.withColumn(name, F.col("__start") + F.col("__inside")).drop("__start", "__inside")
+
+
+def splitters(rows: DataFrame, total: int, ranges: int) -> DataFrame:
+    """Boundaries (prefix, edge) of about equal bytes from a size-weighted sample, at most twice ``ranges``.
+
+    A boundary is the first key of a range.  A key that several quantiles fall on gets a range of its own.
+    """
     want = ranges * SAMPLES
     chance = F.col("size") * F.lit(want / total)
-    draw = (F.xxhash64(F.col("key"), F.col("row"), F.lit("draw")) / F.lit(2.0**64) + 0.5)
+    draw = F.xxhash64(F.col("key"), F.col("row"), F.lit("draw")) / F.lit(2.0**64) + 0.5
     # A row whose size is more than one step counts once for each whole step it covers.
     steps = F.floor(chance) + F.when(draw < chance - F.floor(chance), 1).otherwise(0)
-    sample = rows.select("key", F.xxhash64("row").alias("sub"), steps.cast("long").alias("steps")).where("steps > 0")
+    # Copies are combined, so that a hot key is one row of the sample.
+    sample = rows.select("key", steps.cast("long").alias("steps")).where("steps > 0").groupBy("key").agg(F.sum("steps").alias("steps"))
+    sample = durable(sample.withColumn("prefix", _prefix(F.col("key"))))
     drawn = int(sample.agg(F.sum("steps")).first()[0] or 0)
-    if not drawn:
-        return []
-    cell = F.floor(F.sum("steps").over(Window.orderBy("key", "sub").rowsBetween(Window.unboundedPreceding, -1)) * F.lit(ranges) / F.lit(drawn))
-    edges = sample.withColumn("cell", F.coalesce(cell, F.lit(0))).where("cell > 0").groupBy("cell").agg(F.min(F.struct("key", "sub")).alias("edge"))
-    found = sorted((r.edge.key, r.edge.sub) for r in edges.collect())
-    # The first boundary in a group of equal texts moves to its start; only a group with several is cut inside.
-    return [(key, -(2**63) if not k or found[k - 1][0] != key else sub) for k, (key, sub) in enumerate(found)]
-
-
-def _ranged(rows: DataFrame, edges: list[tuple[int, int]]) -> DataFrame:
-    """Adds ``range``: how many boundaries are at or below the row.  Boundaries are looked up by the key's leading bits."""
-    spark = rows.sparkSession
-    prefix = lambda key: F.shiftright(key, 64 - PREFIX_BITS)
-    by: dict[int, list] = {}
-    for k, edge in enumerate(edges):
-        by.setdefault(edge[0] >> (64 - PREFIX_BITS), []).append(edge)
-    table, below = [], 0
-    for p in range(-(1 << (PREFIX_BITS - 1)), 1 << (PREFIX_BITS - 1)):
-        table.append((p, below, [{"key": k, "sub": s} for k, s in by.get(p, [])]))
-        below += len(by.get(p, []))
-    lookup = spark.createDataFrame(table, "prefix long, below long, edges array<struct<key: long, sub: long>>")
-    joined = rows.withColumn("prefix", prefix(F.col("key"))).withColumn("sub", F.xxhash64("row")).join(F.broadcast(lookup), "prefix")
-    mine = F.expr("size(filter(edges, e -> e.key < key or (e.key = key and e.sub <= sub)))")
-    return joined.select("id", "size", "crc", "key", "row", "sub", (F.col("below") + mine).alias("range"))
+    cell = lambda at: F.floor(at * F.lit(ranges) / F.lit(max(drawn, 1)))
+    placed = _summed(sample, ["key"], "steps", "at").select("key", cell(F.col("at")).alias("first"), cell(F.col("at") + F.col("steps")).alias("last"))
+    starts = placed.where("last > first").select("key", "first", "last")
+    last_key = F.lit(2**63 - 1).cast("long")
+    own = F.when((F.col("last") > F.col("first") + 1) & (F.col("key") < last_key), F.array("key", F.col("key") + 1)).otherwise(F.array("key"))
+    edges = starts.select(F.explode(own).alias("edge")).distinct()
+    return durable(edges.select(_prefix(F.col("edge")).alias("prefix"), "edge"))
+
+
+def _ranged(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds prefix and ``range``: how many boundaries of the prefix are at or below the row."""
+    listed = edges.groupBy("prefix").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    joined = rows.withColumn("prefix", _prefix(F.col("key"))).join(small(listed, edges.count()), "prefix", "left")
+    mine = F.expr("size(filter(coalesce(edges, cast(array() as array<bigint>)), e -> e <= key))")
+    return joined.select("id", "size", "crc", "key", "row", "prefix", mine.alias("range"))
 
 
 def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -85,30 +99,35 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     total = total or 1
     ranges = max(MIN_RANGES, -(-count // range_rows))
     placed = _ranged(rows, splitters(rows, total, ranges))
-    held = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    held = durable(placed.groupBy("prefix", "range").agg(F.count(F.lit(1)).alias("n")))
     # Overfull ranges are subdivided by the row's hash; the parts follow each other in the total order.
     most = max(1, -(-count // ranges))
-    parts = held.where(F.col("n") > 2 * most).select("range", F.ceil(F.col("n") / most).alias("parts"))
-    placed = placed.join(F.broadcast(parts), "range", "left")
-    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("sub"), F.col("parts")), F.lit(0)))
-    sums = placed.groupBy("range", "part").agg(F.sum("size").alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = durable(sums.select("range", "part", F.coalesce(before, F.lit(0)).alias("start")))
-    inside = Window.partitionBy("range", "part").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.where(F.col("n") > 2 * most).select("prefix", "range", F.ceil(F.col("n") / most).alias("parts"))
+    placed = placed.join(small(parts, parts.count()), ["prefix", "range"], "left")
+    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")), F.lit(0)))
+    sums = placed.groupBy("prefix", "range", "part").agg(F.sum("size").alias("bytes"))
+    starts = durable(_summed(sums, ["range", "part"], "bytes", "start").select("prefix", "range", "part", "start"))
+    pieces = starts.count()
+    inside = Window.partitionBy("prefix", "range", "part").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ordered = ordered.join(small(starts, ranges * 3), ["range", "part"])
+    ordered = ordered.join(small(starts, pieces), ["prefix", "range", "part"])
     # A small group of equal texts goes where its middle lies, a large one is parted at the border.
-    texts = Window.partitionBy("range", "part", "key")
+    texts = Window.partitionBy("prefix", "range", "part", "key")
     ordered = ordered.withColumn("group_bytes", F.sum("size").over(texts)).withColumn("group_ahead", F.min("ahead").over(texts))
     whole = F.col("group_bytes") <= F.lit(WHOLE_GROUPS * total / shards)
     middle = F.col("start") + F.when(whole, F.col("group_ahead") + F.col("group_bytes") / 2).otherwise(F.col("ahead") + F.col("size") / 2)
     ordered = ordered.withColumn("shard", F.least(F.floor(middle * shards / total), F.lit(shards - 1)).cast("int"))
-    slot = F.row_number().over(Window.partitionBy("range", "part", "shard").orderBy("key", "id", "row"))
-    ordered = durable(ordered.select("id", "size", "crc", "range", "part", "shard", slot.alias("place")))
-    counts = ordered.groupBy("range", "part", "shard").agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = durable(counts.select("range", "part", "shard", F.coalesce(ahead, F.lit(0)).alias("offset")))
-    done = ordered.join(small(offsets, ranges * 3 + shards), ["range", "part", "shard"])
+    slot = F.row_number().over(Window.partitionBy("prefix", "range", "part", "shard").orderBy("key", "id", "row"))
+    ordered = durable(ordered.select("id", "size", "crc", "prefix", "range", "part", "shard", slot.alias("place")))
+    counts = ordered.groupBy("shard", "prefix", "range", "part").agg(F.count(F.lit(1)).alias("n"))
+    # A shard's slots run through its prefixes: sums inside a prefix, and of whole prefixes before it.
+    inner = Window.partitionBy("shard", "prefix").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("shard").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    whole = counts.groupBy("shard", "prefix").agg(F.sum("n").alias("n"))
+    whole = whole.select("shard", "prefix", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("before"))
+    offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(whole, ["shard", "prefix"])
+    offsets = durable(offsets.select("prefix", "range", "part", "shard", (F.col("before") + F.col("ahead")).alias("offset")))
+    done = ordered.join(small(offsets, pieces + shards), ["prefix", "range", "part", "shard"])
     return done.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
