@@ -6,7 +6,8 @@ in at least ``blocks - radius`` of them, so there is one family of shards for ea
 runs, keyed by the bits in them.  Each shard's BK-tree (children keyed by the integer Hamming distance
 to the parent) is built in the task that owns the shard, and every member follows only the edges within
 the radius.  Every pair within the radius meets in at least one shard, so no link is lost; a tree is never
-broadcast, as the trees of all shards together are as large as the corpus.
+broadcast, as the trees of all shards together are as large as the corpus.  A shard with very many members is
+dealt again by runs of its other bits.
 
 A shard returns links that span its groups, not all pairs: branches whose members are all in a group that
 the query has joined already are not entered, which keeps dense groups cheap.  Links of all shards go
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quernel.llm.common import durable, spread
 from quernel.llm.components import components
@@ -38,7 +40,9 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 #: Members that a shard may have on average; more runs (and so more key bits) are taken beyond it.
-SHARD_MEMBERS = 8
+SHARD_MEMBERS = 64
+#: Members of one shard beyond which it is dealt again by runs of its other bits, as a tree is held in one task.
+OVERFULL = 4096
 #: Hashes whose bits are counted at once.
 HASHES_AT_ONCE = 16_384
 
@@ -136,28 +140,58 @@ def shard_links(values: list[int], radius: int = RADIUS) -> Iterator[tuple[int,
             yield tree.value[k], v
 
 
-def masks(blocks: int, radius: int) -> list[int]:
-    """Bits of every choice of ``blocks - radius`` runs out of ``blocks`` nearly equal runs of the 64 bits."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    runs = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+def masks(blocks: int, radius: int, among: int = (1 << 64) - 1) -> list[int]:
+    """Bits of every choice of ``blocks - radius`` runs out of ``blocks`` nearly equal runs of the bits in ``among``."""
+    bits = [k for k in range(64) if among >> k & 1]
+    cuts = [len(bits) * k // blocks for k in range(blocks + 1)]
+    runs = [sum(1 << k for k in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [sum(c) for c in combinations(runs, blocks - radius)]
 
 
 def blocks_for(distinct: int, radius: int = RADIUS) -> int:
     """Runs to cut 64 bits into, so that shards of evenly spread fingerprints stay small; the links found are the same for any number."""
-    blocks = radius + 2
+    blocks = radius + 1
     while blocks < radius + 4 and distinct > SHARD_MEMBERS << (64 * (blocks - radius) // blocks):
         blocks += 1
     return blocks
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """distinct: a column fp of distinct fingerprints.  Links (a, b) that connect all that are connected within the radius."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _dealt(rows: DataFrame, families: Column) -> DataFrame:
+    """Members (family, shard, fp) of the shards that ``families`` lists, with n, the members of the shard; a shard lies together in one partition."""
+    members = rows.select("fp", F.explode(families).alias("key")).select("key.family", "key.shard", "fp")
+    members = spread(members, "family", "shard").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("family", "shard")))
+    return durable(members.sortWithinPartitions("family", "shard"))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, overfull: int = OVERFULL) -> DataFrame:
+    """distinct: a column fp of distinct fingerprints.  Links (a, b) that connect all that are connected within the radius.
+
+    Members of an overfull shard agree in its family's bits, so they are dealt again by choices of runs of the other
+    bits, where the same count of runs must agree; no pair within the radius is lost.
+    """
     chosen = masks(blocks or blocks_for(distinct.count(), radius), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    keys = F.array(*[F.struct(F.lit(k).alias("family"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for k, m in enumerate(signed)])
-    members = distinct.select("fp", F.explode(keys).alias("key")).select("key.family", "key.shard", "fp")
-    members = spread(members, "family", "shard").sortWithinPartitions("family", "shard", "fp")
+    families = F.array(*[F.struct(F.lit(k).alias("family"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard")) for k, m in enumerate(chosen)])
+    members = _dealt(distinct, families)
+    found = _tree_links(members.where(F.col("n") <= overfull), radius)
+    crowded = members.where(F.col("n") > overfull)
+    if not crowded.isEmpty():
+        finer = [masks(radius + 2, radius, ((1 << 64) - 1) & ~m) for m in chosen]
+        lists = F.array(*[F.array(*[F.lit(_signed(m | f)) for f in fine]) for m, fine in zip(chosen, finer, strict=True)])
+        width = len(finer[0])
+        again = F.transform(
+            F.element_at(lists, F.col("family") + 1),
+            lambda m, k: F.struct((F.col("family") * width + k).alias("family"), F.col("fp").bitwiseAND(m).alias("shard")),
+        )
+        found = found.unionByName(_tree_links(_dealt(crowded, again), radius))
+    return found.distinct()
+
+
+def _tree_links(members: DataFrame, radius: int) -> DataFrame:
+    """members: family, shard, fp, with the rows of a shard next to each other in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
@@ -196,7 +230,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
         if held and (found := close(np.concatenate(held))):
             yield out(found)
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.select("family", "shard", "fp").mapInArrow(run, "a long, b long")
 
 
 def _marked(rows: DataFrame, radius: int, blocks: int | None) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -179,3 +180,35 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 0 for k in range(60)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_overfull_shards_are_dealt_again_and_lose_no_link(spark):
+    random = np.random.default_rng(5)
+    # A third of all fingerprints share sixteen bits, and near ones differ in up to five bits anywhere.
+    values = {int(v) for v in random.integers(0, 2**63, 200)} | {int(v) << 16 | 77 for v in random.integers(0, 2**47, 100)}
+    for v in sorted(values)[::3]:
+        for n in (1, 3, 4, 5):
+            values.add(v ^ sum(1 << int(b) for b in random.choice(64, n, replace=False)))
+    values = sorted(values)
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    want = {v: v for v in values}
+
+    def root(v):
+        while want[v] != v:
+            v = want[v]
+        return v
+
+    for k, a in enumerate(values):
+        for b in values[k + 1 :]:
+            if (a ^ b).bit_count() <= 4 and root(a) != root(b):
+                want[max(root(a), root(b))] = min(root(a), root(b))
+    for overfull in (1, 20, simhash.OVERFULL):
+        got = {v: v for v in values}
+        top = lambda v: v if got[v] == v else top(got[v])  # noqa: B023, E731
+        for r in simhash.links(df, overfull=overfull).collect():
+            a, b = r.a % 2**64, r.b % 2**64
+            assert (a ^ b).bit_count() <= 4
+            if top(a) != top(b):
+                got[max(top(a), top(b))] = min(top(a), top(b))
+        assert all(top(v) == root(v) for v in values)
