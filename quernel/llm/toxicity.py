@@ -3,7 +3,8 @@
 Features of a text: densities of a lexicon (whole words and word beginnings) that is learned from
 labelled rows by log odds, how near its hits stand to words of the second person, shares of capitals and
 punctuation, and rates of obfuscated spellings.  Trees are grown on histograms of a bounded sample of
-labelled rows, and an isotonic fit on labelled rows that they have not seen turns scores into chances.
+labelled rows, and an isotonic fit on labelled rows that neither they nor the lexicon have seen turns
+scores into chances.
 
 Defined cases: null and empty texts are scored as texts without words; rows without a label are only
 scored; without labels of both kinds every score is 0; repeated rows get equal scores; an empty table
@@ -33,8 +34,9 @@ WRITTEN_FOR = str.maketrans("013457@$!", "oieastasi")
 NEAR_WORDS = 5
 #: Lengths of word beginnings in the lexicon; 0 stands for whole words.
 BEGINNINGS = (0, 4, 5, 6)
-#: Terms of the lexicon at most for each kind, the smallest log odds, and the least share of toxic rows that have a term.
-MAX_TERMS, MIN_ODDS, MIN_SHARE, MIN_ROWS = 3000, 4.0, 0.01, 4
+#: Smallest log odds of a term, and the least share (and number) of toxic rows that have it.  The share bounds the lexicon:
+#: it has at most 1 / MIN_SHARE times as many terms as a toxic row of the sample has on average.
+MIN_ODDS, MIN_SHARE, MIN_ROWS = 4.0, 0.01, 4
 TREES, DEPTH, RATE, BINS, LEAF_ROWS, SHRINK = 60, 3, 0.2, 32, 10, 1.0
 CALIBRATE_EACH = 4
 PREDICT = 0.5
@@ -87,9 +89,9 @@ class Lexicon:
         count = sum(words[w] for w in hits)
         chars = max(len(text), 1)
         return [
-            *by_kind, total, max(hits.values(), default=0.0), count / n, len(hits), masked_hits, second / n, near,
+            *[h / n for h in by_kind], total / n, max(hits.values(), default=0.0), count / n, len(hits) / n, masked_hits / n, second / n, near / n,
             sum(map(str.isupper, text.split())) / n, text.count("!") / chars, text.count("?") / chars, sum(map(text.count, "*@$#%&")) / chars,
-            len(masked) / n, len(spelled), len(STRETCHED.findall(lowered)) / n, float(np.log1p(n)),
+            len(masked) / n, len(spelled) / n, len(STRETCHED.findall(lowered)) / n, float(np.log1p(n)),
         ]
 
 
@@ -99,6 +101,11 @@ def _terms(words: F.Column, length: int) -> F.Column:
     return F.transform(cut, lambda w: F.struct(F.lit(length).alias("k"), w.alias("term")))
 
 
+def calibrates() -> F.Column:
+    """Whether a labelled row is for calibration; such rows teach neither the lexicon nor the trees."""
+    return F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0
+
+
 def learn_lexicon(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """train: id, y of a bounded sample.  A bounded number of terms comes to the driver."""
     labelled = df.select(df[id_col].alias("id"), F.lower(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("t")).join(F.broadcast(train), "id")
@@ -114,8 +121,7 @@ def learn_lexicon(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     counted = terms.groupBy("k", "term").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("rows"))
     counted = counted.where(F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * toxic))
     value = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.5) / (clean + 1))
-    best = counted.withColumn("odds", value).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("toxic"), "k", "term").limit(MAX_TERMS * len(BEGINNINGS))
-    for r in best.collect():
+    for r in counted.withColumn("odds", value).where(F.col("odds") >= MIN_ODDS).collect():
         odds[r.k][r.term] = r.odds
     return Lexicon(odds)
 
@@ -207,7 +213,7 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Model | None:
 def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
     """vectors: id, x of the labelled rows at least; train: id, y of a bounded sample."""
     # One row an id, so that repeated rows don't outgrow the sample.
-    sample = vectors.join(F.broadcast(train), "id").dropDuplicates(["id"]).withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE_EACH)) == 0)
+    sample = vectors.join(F.broadcast(train), "id").dropDuplicates(["id"]).withColumn("calibrate", calibrates())
     rows = sample.select("x", "y", "calibrate").toArrow()  # bounded by the sample
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64) if len(rows) else np.zeros((0, len(NAMES)))
     return fit(x, rows["y"].to_numpy(), rows["calibrate"].to_numpy(zero_copy_only=False).astype(bool))
@@ -216,7 +222,7 @@ def learn(vectors: DataFrame, train: DataFrame) -> Model | None:
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """id_col, held_out, score, predicted for every row."""
     train = features.training_labels(df, labels, "toxic", id_col, text_col, most)
-    lexicon = learn_lexicon(df, train, id_col, text_col)
+    lexicon = learn_lexicon(df, train.where(~calibrates()), id_col, text_col)
     vectors = durable(features.with_vector(df, lexicon.vector, len(NAMES), id_col, text_col))
     model = learn(vectors, train)
 
@@ -235,7 +241,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = features.MAX_LABELLED) -> DataFrame:
     """The rows that are predicted 0, each by its own text, with all their columns."""
     train = features.training_labels(df, labels, "toxic", id_col, text_col, most)
-    lexicon = learn_lexicon(df, train, id_col, text_col)
+    lexicon = learn_lexicon(df, train.where(~calibrates()), id_col, text_col)
     named = df.join(F.broadcast(train.select(F.col("id").alias("__id"))), df[id_col] == F.col("__id"), "left_semi")  # bounded by ``most``
     model = learn(features.with_vector(named, lexicon.vector, len(NAMES), id_col, text_col), train)
 

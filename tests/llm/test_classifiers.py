@@ -119,3 +119,39 @@ def test_a_tree_splits_where_it_should():
     y = (x[:, 0] > 0.5).astype(float)
     model = toxicity.fit(x, y, np.arange(200) % 4 == 0)
     assert ((features.calibrated(model.raw(x), model.knots) >= 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_weights_equal_a_direct_solve(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(300, 4))
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y double")
+    model = quality.fit(rows, fourier=16)
+    flags = {r.id: r.c for r in rows.selectExpr("id", f"pmod(xxhash64(id, 'calibrate'), {quality.CALIBRATE_EACH}) = 0 AS c").collect()}
+    use = np.array([not flags[k] for k in range(300)])
+    assert np.allclose(model.mean, x[use].mean(axis=0)) and np.allclose(model.scale, x[use].std(axis=0) + 1e-6)
+    z = model.fourier(x[use])
+    penalty = quality.RIDGE * use.sum() * np.array([1.0] * 16 + [0.01] * 4 + [0.0]) + 1e-9
+    # Ridge as least squares with a row for each penalty.
+    direct = np.linalg.lstsq(np.vstack([z, np.diag(np.sqrt(penalty))]), np.concatenate([y[use], np.zeros(21)]), rcond=None)[0]
+    assert np.allclose(model.weights, direct, atol=1e-6)
+
+
+def test_the_first_split_is_the_best_of_all():
+    random = np.random.default_rng(4)
+    x = random.integers(0, 12, (400, 3)).astype(float)
+    g = random.normal(size=400) + 2 * (x[:, 1] > 6)
+    h = random.uniform(0.1, 0.25, 400)
+    edges = [toxicity._edges(x[:, f]) for f in range(3)]
+    codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    tree = toxicity.grow(codes, edges, g, h)
+    worth = lambda use: g[use].sum() ** 2 / (h[use].sum() + toxicity.SHRINK)
+    every = [(worth(x[:, f] <= c) + worth(x[:, f] > c), f, c) for f in range(3) for c in edges[f] if min((x[:, f] <= c).sum(), (x[:, f] > c).sum()) >= toxicity.LEAF_ROWS]
+    assert (int(tree.feature[0]), float(tree.cut[0])) == max(every)[1:]
+
+
+def test_toxic_features_are_densities():
+    lexicon = toxicity.Lexicon({0: {"idiot": 5.0}, 4: {"idio": 4.5}, 5: {}, 6: {}})
+    once, often = (np.array(lexicon.vector("you idiot, 1d1ot i d i o t and so on. " * n)) for n in (1, 7))
+    counted = [toxicity.NAMES.index(n) for n in ("hits_word", "hits_4", "odds_sum", "rate_hits", "masked_hits", "second_person", "near_second", "spelled")]
+    assert np.all(once[counted] > 0) and np.allclose(once[counted], often[counted], rtol=0.2)
