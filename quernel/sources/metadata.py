@@ -7,8 +7,10 @@ Both are read by the JVM's own file reader, so any store that Spark reads will d
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,6 +21,10 @@ COLUMNS = (
     "values long, nulls long, least string, most string, compressed long, uncompressed long, data_offset long"
 )
 PAGES = "row_group int, column string, page int, offset long, compressed long, row_start long, rows long, nulls long, least binary, most binary"
+PAGE_NAMES = [x.split()[0] for x in PAGES.split(", ")]
+#: Indexes of several chunks, one after another as they are stored, deflated; and the bytes, as stored, after which a slab is full.
+SLABS = "chunks array<struct<row_group: int, column: string, rows: long, stats: boolean>>, indexes binary"
+SLAB_BYTES = 1 << 19
 #: struct formats and widths of the physical types with numbers of a fixed width (fixed values).
 WIDTHS = {"INT32": ("<i", 4), "INT64": ("<q", 8), "FLOAT": ("<f", 4), "DOUBLE": ("<d", 8)}
 
@@ -89,33 +95,130 @@ def footer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each page that the file's indexes name (PAGES); statistics are null where there is only an offset index."""
+    """One row for each page that the file's indexes name (PAGES); statistics are null where there is only an offset index.
+
+    The driver asks the reader for each column chunk's indexes, whatever its number of pages, and passes them on as
+    they are stored, deflated, in slabs of about SLAB_BYTES; a task for each slab decodes them.
+    """
+    jvm = spark.sparkContext._jvm
+    stored, convert = jvm.org.apache.parquet.format.Util, jvm.org.apache.parquet.format.converter.ParquetMetadataConverter
+
+    def slab(held: list[tuple]) -> tuple[list[tuple], bytearray]:
+        out = jvm.java.io.ByteArrayOutputStream()
+        deflated = jvm.java.io.BufferedOutputStream(jvm.java.util.zip.DeflaterOutputStream(out))
+        for *_, offsets, stats in held:
+            stored.writeOffsetIndex(offsets, deflated)
+            if stats is not None:
+                stored.writeColumnIndex(stats, deflated)
+        deflated.close()
+        return [(g, column, rows, stats is not None) for g, column, rows, _, stats in held], out.toByteArray()
+
     reader = _open(spark, path)
     try:
-        rows = []
+        slabs, held, size = [], [], 0
         for g, block in enumerate(reader.getFooter().getBlocks()):
+            rows = block.getRowCount()
             for c in block.getColumns():
-                offsets, stats = reader.readOffsetIndex(c), reader.readColumnIndex(c)
+                offsets = reader.readOffsetIndex(c)
                 if offsets is None:
                     continue
-                n = offsets.getPageCount()
-                low, high, nulls = (stats.getMinValues(), stats.getMaxValues(), stats.getNullCounts()) if stats is not None else (None, None, None)
-                empty = stats.getNullPages() if stats is not None else None
-                for p in range(n):
-                    first = offsets.getFirstRowIndex(p)
-                    known = stats is not None and not empty[p]
-                    rows.append((
-                        g, c.getPath().toDotString(), p, offsets.getOffset(p), offsets.getCompressedPageSize(p), first, offsets.getLastRowIndex(p, block.getRowCount()) - first + 1,
-                        nulls[p] if nulls is not None else None, _bytes(low[p]) if known else None, _bytes(high[p]) if known else None,
-                    ))
+                stats = convert.toParquetColumnIndex(c.getPrimitiveType(), reader.readColumnIndex(c))
+                held.append((g, c.getPath().toDotString(), rows, convert.toParquetOffsetIndex(offsets), stats))
+                size += sum(r.getLength() for r in (c.getOffsetIndexReference(), c.getColumnIndexReference()) if r is not None)
+                if size >= SLAB_BYTES:
+                    slabs.append(slab(held))
+                    held, size = [], 0
+        if held:
+            slabs.append(slab(held))
     finally:
         reader.close()
-    return spark.createDataFrame(rows, PAGES)
-
+    if not slabs:
+        return spark.createDataFrame([], PAGES)
+    return spark.createDataFrame(spark.sparkContext.parallelize(slabs, len(slabs)), SLABS).mapInArrow(_pages, PAGES)
+
+
+def _pages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PAGES from rows of SLABS, a batch for each chunk."""
+    for slab in (row for part in parts for row in part.to_pylist()):
+        raw, at = zlib.decompress(slab["indexes"]), 0
+        for chunk in slab["chunks"]:
+            # Fields by their numbers in parquet.thrift: OffsetIndex 1 page_locations of 1 offset, 2 compressed_page_size, 3 first_row_index;
+            # ColumnIndex 1 null_pages, 2 min_values, 3 max_values, 5 null_counts.
+            offsets, at = _compact(raw, at)
+            stats, at = _compact(raw, at) if chunk["stats"] else ({}, at)
+            places = offsets[1]
+            n = len(places)
+            empty, nulls = stats.get(1, [True] * n), stats.get(5, [None] * n)
+            least, most = ([None if e else v for e, v in zip(empty, stats.get(k, [None] * n), strict=True)] for k in (2, 3))
+            starts = [p[3] for p in places]
+            counts = [b - a for a, b in zip(starts, [*starts[1:], chunk["rows"]], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk["row_group"]] * n, pa.int32()), pa.array([chunk["column"]] * n, pa.string()), pa.array(range(n), pa.int32()),
+                    pa.array([p[1] for p in places], pa.int64()), pa.array([p[2] for p in places], pa.int64()), pa.array(starts, pa.int64()),
+                    pa.array(counts, pa.int64()), pa.array(nulls, pa.int64()), pa.array(least, pa.binary()), pa.array(most, pa.binary()),
+                ],
+                PAGE_NAMES,
+            )
+
+
+def _compact(raw: bytes, at: int) -> tuple[dict, int]:
+    """A struct of Thrift's compact protocol (values by field number, structs as such dicts), and where it ends."""
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                return out
+            shift += 7
+
+    def value(kind: int):
+        nonlocal at
+        if kind in (4, 5, 6):  # zigzag numbers
+            n = varint()
+            return (n >> 1) ^ -(n & 1)
+        if kind == 8:  # bytes
+            n = varint()
+            at += n
+            if at > len(raw):
+                raise IndexError(at)
+            return raw[at - n : at]
+        if kind == 9:  # list
+            head = raw[at]
+            at += 1
+            n = head >> 4
+            n = varint() if n == 15 else n
+            return [item(head & 15) for _ in range(n)]
+        if kind == 12:
+            return struct_()
+        raise CorruptMetadata(f"an index holds a value of kind {kind}")
+
+    def item(kind: int):
+        nonlocal at
+        if kind in (1, 2):  # booleans of a list are a byte each
+            at += 1
+            return raw[at - 1] == 1
+        return value(kind)
+
+    def struct_() -> dict:
+        nonlocal at
+        out, field = {}, 0
+        while raw[at]:
+            head = raw[at]
+            at += 1
+            field = field + (head >> 4) if head >> 4 else value(4)
+            out[field] = head & 15 == 1 if head & 15 in (1, 2) else value(head & 15)
+        at += 1
+        return out
 
-def _bytes(buffer) -> bytes:
-    copy = buffer.duplicate()
-    return bytes(copy.get(k) & 0xFF for k in range(copy.position(), copy.limit()))
+    try:
+        return struct_(), at
+    except IndexError:
+        raise CorruptMetadata("an index ends early") from None
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import gc
 import math
 import random
 
@@ -173,6 +174,77 @@ def test_page_index(spark, tmp_path):
     assert names[0].nulls == 1000 and names[0].least is None and bytes(names[1].least) == b"01000"
 
 
+def pages_one_by_one(spark, path):
+    """What page_index should give, asked of the reader value by value."""
+    reader, out = metadata._open(spark, path), []
+    raw = lambda b: bytes(b.duplicate().get(k) & 0xFF for k in range(b.position(), b.limit()))
+    for g, block in enumerate(reader.getFooter().getBlocks()):
+        for c in block.getColumns():
+            offsets, stats = reader.readOffsetIndex(c), reader.readColumnIndex(c)
+            for p in range(offsets.getPageCount() if offsets is not None else 0):
+                first, known = offsets.getFirstRowIndex(p), stats is not None and not stats.getNullPages()[p]
+                nulls = stats.getNullCounts() if stats is not None else None
+                out.append((
+                    g, c.getPath().toDotString(), p, offsets.getOffset(p), offsets.getCompressedPageSize(p), first, offsets.getLastRowIndex(p, block.getRowCount()) - first + 1,
+                    nulls[p] if nulls is not None else None, raw(stats.getMinValues()[p]) if known else None, raw(stats.getMaxValues()[p]) if known else None,
+                ))
+    reader.close()
+    return out
+
+
+def found_pages(spark, path):
+    return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in metadata.page_index(spark, path).collect()]
+
+
+@pytest.mark.parametrize("slab", [1, 300, 1 << 19])
+def test_page_index_of_odd_columns(spark, tmp_path, monkeypatch, slab):
+    monkeypatch.setattr(metadata, "SLAB_BYTES", slab)
+    df = spark.range(2000, numPartitions=1).selectExpr(
+        "id", "id % 3 = 0 flag", "if(id < 300, null, if(id % 7 = 0, '', concat('é', id))) name", "cast(null as int) none", "if(id % 5 = 0, double('NaN'), -id) d",
+        "timestamp_seconds(id) at", "cast(id as decimal(30,2)) amount", "if(id % 4 = 0, null, array(id, null, -id)) l", "map(id, cast(id as string)) m", "struct(-id as x) s",
+    )
+    for kind in ("INT96", "TIMESTAMP_MICROS"):
+        spark.conf.set("spark.sql.parquet.outputTimestampType", kind)
+        try:
+            sink.write(df, str(tmp_path / kind), page_rows=100, row_group_bytes=40_000)
+        finally:
+            spark.conf.unset("spark.sql.parquet.outputTimestampType")
+        path = next(iter(spark.read.parquet(str(tmp_path / kind)).inputFiles()))
+        want = pages_one_by_one(spark, path)
+        assert found_pages(spark, path) == want and len({w[0] for w in want}) > 1
+    held = pa.table({"id": list(range(5000)), "name": [None if k < 2000 else "x" * (k % 300) for k in range(5000)], "flag": [None] * 5000})
+    path = one_file(tmp_path, held, row_group_size=1500, write_page_index=True, data_page_size=500, write_batch_size=100, use_dictionary=False)
+    assert len(found_pages(spark, path)) > 50 and found_pages(spark, path) == pages_one_by_one(spark, path)
+    for made in (held, held.slice(0, 0)):
+        assert found_pages(spark, one_file(tmp_path, made)) == []
+
+
+def test_page_index_asks_the_reader_by_chunk_and_not_by_page(spark, tmp_path, monkeypatch):
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    asked, found = [], []
+    for rows in (4000, 20):
+        sink.write(spark.range(8000, numPartitions=1), str(tmp_path / str(rows)), page_rows=rows)
+        path = next(iter(spark.read.parquet(str(tmp_path / str(rows))).inputFiles()))
+        gc.collect()
+        calls.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(client, "send_command", lambda *a, **k: (calls.append(1), send(*a, **k))[1])
+            made = metadata.page_index(spark, path)
+        asked.append(len(calls))
+        found.append(made.count())
+        assert made.agg(F.sum("rows")).first()[0] == 8000
+    assert found[0] == 2 and found[1] > 350 and asked[1] < asked[0] + 350
+
+
+def test_an_index_that_ends_early():
+    raw = bytes([0x19, 0x1C, 0x16, 8, 0x15, 20, 0x16, 0, 0, 0])
+    assert metadata._compact(raw, 0) == ({1: [{1: 4, 2: 10, 3: 0}]}, len(raw))
+    for cut in range(len(raw)):
+        with pytest.raises(CorruptMetadata):
+            metadata._compact(raw[:cut], 0)
+
+
 def test_statistics_of_the_wrong_width():
     assert metadata.decode("DOUBLE", b"\0\0\0\0\0\0\xf0?") == 1.0 and metadata.decode("BOOLEAN", b"\1") is True and metadata.decode("BYTE_ARRAY", b"x") == b"x" and metadata.decode("INT32", None) is None
     for kind, raw in (("INT32", b"\0"), ("INT64", b"\0" * 4), ("BOOLEAN", b"\0\0")):
